@@ -48,15 +48,21 @@ def union_points(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def dedupe_points(points: DataFrame, order: Column, keys: Sequence[str] = ("series_key", "ts")) -> DataFrame:
+def dedupe_points(points: DataFrame, order: str, keys: Sequence[str] = ("series_key", "ts")) -> DataFrame:
     """One row per series and instant, the one with the greatest ``order``.
 
     An aggregate rather than a window: duplicates are combined before the shuffle, so a
-    series holding most of the rows does not land in one task.
+    series holding most of the rows does not land in one task. Metric and tags follow from
+    the series key, so they are grouped on; that leaves fixed-width buffers and a hash
+    aggregate.
     """
-    rest = [c for c in points.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), order).alias("best")
-    return points.groupBy(*keys).agg(best).select(*keys, "best.*").select(*points.columns)
+    fixed = [*keys, *[c for c in ("metric", "tags") if c in points.columns and c not in keys]]
+    rest = [c for c in points.columns if c not in fixed]
+    if rest == ["value", order]:
+        best = points.groupBy(*fixed).agg(F.max_by("value", order).alias("value"), F.max(order).alias(order))
+    else:
+        best = points.groupBy(*fixed).agg(F.max_by(F.struct(*rest), order).alias("b")).select(*fixed, "b.*")
+    return best.select(*points.columns)
 
 
 def _service_tags() -> Column:
@@ -126,56 +132,127 @@ def region_points(regions: DataFrame) -> DataFrame:
     )
 
 
+def service_points(beans: DataFrame, service: str) -> DataFrame:
+    """Rule points and region points together: every bean entry is exploded once."""
+    entries = src.bean_entries(rl.route_beans(beans, service))
+    rules = rl.rule_table(beans.sparkSession)
+    ruled = entries.join(F.broadcast(rules), ["service", "bean_class", "key"], "left")
+    key = F.col("key")
+    one_region = (
+        (F.col("bean_class") == rl.REGIONS) & key.contains("Namespace_")
+        & (F.size(F.regexp_extract_all(key, F.lit(REGION_PATTERN), F.lit(0))) == 1)
+    )
+    parts = F.when(one_region, F.struct(*[
+        F.regexp_extract(key, REGION_PATTERN, i + 1).alias(name)
+        for i, name in enumerate(["namespace", "table", "region", "metric"])
+    ]))
+    rows = ruled.withColumn("r", parts)
+    listed = F.col("r.metric").isin(rl.REGION_METRICS)
+    metric = F.coalesce(
+        F.col("metric"), F.when(listed, F.concat(F.lit("hbase.regionserver.regions."), F.col("r.metric")))
+    )
+    extra = F.create_map(
+        F.lit("regions"), F.col("r.region"), F.lit("namespace"), F.col("r.namespace"),
+        F.lit("table"), F.col("r.table"),
+    )
+    tags = F.when(listed, pf.merge_tags(extra, _service_tags())).otherwise(_service_tags())
+    value = F.col("raw").try_cast("double") / F.coalesce("divisor", F.lit(1.0))
+    return make_points(rows.filter(metric.isNotNull()), metric, F.col("ts"), value, tags)
+
+
 # -- host snapshots -------------------------------------------------------------------
 
-def _host_tag() -> Column:
-    return F.create_map(F.lit("host"), F.col("host"))
+def _cells(members: dict[str, Column], tags: Column) -> Column:
+    """One (metric, value, tags) cell per member."""
+    return F.array(*[
+        F.struct(F.lit(metric).alias("metric"), value.alias("value"), tags.alias("tags"))
+        for metric, value in members.items()
+    ])
+
+
+def _tags(**pairs: Column) -> Column:
+    return F.create_map(*[c for name, value in pairs.items() for c in (F.lit(name), value)])
+
 
+def _system_cells() -> Column:
+    members = {metric: F.col(f"node.{path}") for metric, path in SYSTEM_GAUGES.items()}
+    return _cells(members, _tags(host=F.col("host")))
+
+
+def _network_cells() -> Column:
+    return F.flatten(F.transform(
+        "node.Network",
+        lambda n: _cells(
+            {f"sys.net.{k}": n[k] for k in NETWORK_KEYS}, _tags(**{"host": F.col("host"), "if": n["name"]})
+        ),
+    ))
+
+
+def _disk_cells() -> Column:
+    usage = F.filter(F.map_entries("node.DiskUsage"), lambda e: e["key"].startswith(DISK_USAGE_PREFIX))
+    return F.flatten(F.transform(
+        usage,
+        lambda e: _cells(
+            {f"sys.disk.{k}": e["value"][k] for k in DISK_KEYS},
+            _tags(host=F.col("host"), disk=F.substring(e["key"], len(DISK_USAGE_PREFIX) + 1, 2**31 - 1)),
+        ),
+    ))
 
-def _member_points(df: DataFrame, members: dict[str, Column], tags: Column) -> DataFrame:
-    """One point per (metric, member) of a row, by exploding a fixed array of structs."""
-    cells = F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in members.items()])
-    exploded = df.select("ts", tags.alias("tags"), F.explode(cells).alias("cell"))
-    return make_points(exploded, F.col("cell.metric"), F.col("ts"), F.col("cell.value"), F.col("tags"))
+
+def _jvm_cells() -> Column:
+    labelled = F.transform(
+        F.map_entries("node.JavaMetrics"),
+        lambda e: F.struct(tf.parse_task_label(e["key"]).alias("l"), e["value"].alias("members")),
+    )
+    good = F.filter(labelled, lambda x: x["l"]["error"].isNull())
+    return F.flatten(F.transform(
+        good,
+        lambda x: F.transform(
+            F.map_entries(x["members"]),
+            lambda m: F.struct(
+                F.concat(F.lit("node.jvm.gc."), m["key"]).alias("metric"),
+                m["value"].alias("value"),
+                _tags(
+                    cluster=x["l"]["cluster"], job=x["l"]["job"], task=x["l"]["task"].cast("string"),
+                    host=F.col("host"),
+                ).alias("tags"),
+            ),
+        ),
+    ))
+
+
+def _cell_points(nodes: DataFrame, *cells: Column) -> DataFrame:
+    """A snapshot is parsed once and all its cells leave by one explode; a missing member
+    (NULL array) adds nothing."""
+    empty = F.array().cast("array<struct<metric:string,value:double,tags:map<string,string>>>")
+    together = F.concat(*[F.coalesce(c, empty) for c in cells])
+    exploded = nodes.select("ts", F.explode(together).alias("cell"))
+    return make_points(exploded, F.col("cell.metric"), F.col("ts"), F.col("cell.value"), F.col("cell.tags"))
 
 
 def system_points(nodes: DataFrame) -> DataFrame:
     """The nine CPU, load and memory gauges."""
-    members = {metric: F.col(f"node.{path}") for metric, path in SYSTEM_GAUGES.items()}
-    return _member_points(nodes, members, _host_tag())
+    return _cell_points(nodes, _system_cells())
 
 
 def network_points(nodes: DataFrame) -> DataFrame:
     """Eight counters per interface."""
-    rows = nodes.select("host", "ts", F.explode("node.Network").alias("n"))
-    tags = F.create_map(F.lit("host"), F.col("host"), F.lit("if"), F.col("n.name"))
-    return _member_points(rows, {f"sys.net.{k}": F.col(f"n.{k}") for k in NETWORK_KEYS}, tags)
+    return _cell_points(nodes, _network_cells())
 
 
 def disk_points(nodes: DataFrame) -> DataFrame:
     """Four gauges per ``usage:`` entry of the disk map."""
-    rows = nodes.select("host", "ts", F.explode("node.DiskUsage").alias("key", "d")).filter(
-        F.col("key").startswith(DISK_USAGE_PREFIX)
-    )
-    disk = F.substring(F.col("key"), len(DISK_USAGE_PREFIX) + 1, 2**31 - 1)
-    tags = F.create_map(F.lit("host"), F.col("host"), F.lit("disk"), disk)
-    return _member_points(rows, {f"sys.disk.{k}": F.col(f"d.{k}") for k in DISK_KEYS}, tags)
+    return _cell_points(nodes, _disk_cells())
 
 
 def jvm_points(nodes: DataFrame) -> DataFrame:
     """P5: JVM gauges per task label; a label that does not parse is skipped."""
-    labels = nodes.select("host", "ts", F.explode("node.JavaMetrics").alias("label", "members"))
-    parsed = labels.withColumn("l", tf.parse_task_label(F.col("label"))).filter(F.col("l.error").isNull())
-    rows = parsed.select("host", "ts", "l", F.explode("members").alias("key", "value"))
-    tags = F.create_map(
-        F.lit("cluster"), F.col("l.cluster"), F.lit("job"), F.col("l.job"),
-        F.lit("task"), F.col("l.task").cast("string"), F.lit("host"), F.col("host"),
-    )
-    return make_points(rows, F.concat(F.lit("node.jvm.gc."), "key"), F.col("ts"), F.col("value"), tags)
+    return _cell_points(nodes, _jvm_cells())
 
 
 def node_points(nodes: DataFrame) -> DataFrame:
-    return union_points([system_points(nodes), network_points(nodes), disk_points(nodes), jvm_points(nodes)])
+    """P2-P5 in one pass."""
+    return _cell_points(nodes, _system_cells(), _network_cells(), _disk_cells(), _jvm_cells())
 
 
 def gc_members(parsed: DataFrame) -> DataFrame:

@@ -120,13 +120,18 @@ def extract_placeholders(templates: DataFrame, doc: Sequence[str], skip_host: bo
 
 
 def resolve_placeholders(
-    placeholders: DataFrame, tasks: DataFrame, dependencies: DataFrame, jobs: DataFrame | None = None
+    placeholders: DataFrame,
+    tasks: DataFrame,
+    dependencies: DataFrame,
+    jobs: DataFrame | None = None,
+    names: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``value``, NULL where the lookup fails.
 
     ``tasks``: (cluster, job, task_id, host, base_port, attributes); ``dependencies``:
     (cluster, ordinal, dep_cluster); ``jobs``: (cluster, job), only needed when a job may
-    have no tasks. All lookups are equi-joins on the full key.
+    have no tasks; ``names``: (cluster, cluster_name), only needed when clusters are known by
+    something else than their name. All lookups are equi-joins on the full key.
     """
     through = placeholders.join(dependencies, ["cluster", "ordinal"], "left")
     is_dep = F.col("form").startswith("dep_")
@@ -138,7 +143,13 @@ def resolve_placeholders(
     is_list = F.col("form").isin("server_list", "dep_server_list")
     is_name = F.col("form").isin("cluster_name", "dep_cluster_name")
 
-    names = located.filter(is_name).withColumn("value", F.col("target"))
+    named = located.filter(is_name)
+    if names is None:
+        named = named.withColumn("value", F.col("target"))
+    else:
+        named = named.join(
+            names.select(F.col("cluster").alias("target"), F.col("cluster_name").alias("value")), "target", "left"
+        )
     attrs = located.filter(~is_list & ~is_name).join(by_task, ["target", "job", "task_id"], "left")
     raw = F.try_element_at("attributes", F.col("attr"))
     plus = F.col("form").endswith("_plus")
@@ -158,7 +169,7 @@ def resolve_placeholders(
         lists.select(F.col("cluster").alias("target"), "job", F.col("server_list").alias("value")),
         ["target", "job"], "left",
     )
-    out = names.unionByName(attrs).unionByName(listed)
+    out = named.unionByName(attrs).unionByName(listed)
     return out.select(*placeholders.columns, "value")
 
 
@@ -168,6 +179,7 @@ def render_templates(
     tasks: DataFrame,
     dependencies: DataFrame,
     jobs: DataFrame | None = None,
+    names: DataFrame | None = None,
     skip_host: bool = False,
 ) -> DataFrame:
     """``templates`` (doc..., cluster, task_id, text) with every placeholder replaced.
@@ -177,7 +189,7 @@ def render_templates(
     Values are put in place in one pass, so a value that looks like a placeholder stays.
     """
     found = resolve_placeholders(
-        extract_placeholders(templates, doc, skip_host), tasks, dependencies, jobs
+        extract_placeholders(templates, doc, skip_host), tasks, dependencies, jobs, names
     )
     per_doc = found.groupBy(*doc).agg(
         F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("__values"),

@@ -89,10 +89,11 @@ def effective_config(
     rendered = files.join(tasks.select("doc", "job", "task_id"), ["doc", "job"]).withColumn(
         "cluster", F.col("doc")
     )
+    names = cluster_fields(leaves).select("doc", "cluster_name")
     filled = tp.render_templates(
-        rendered, ["doc", "job", "file", "task_id"], fleet, dependencies, skip_host=skip_host
+        rendered, ["doc", "job", "file", "task_id"], fleet, dependencies,
+        names=names.withColumnRenamed("doc", "cluster"), skip_host=skip_host,
     )
-    names = cluster_fields(leaves).select("doc", "cluster_name")
     root = F.lit(agent_root)
 
     def runtime(text: Column) -> Column:
