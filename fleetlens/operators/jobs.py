@@ -63,40 +63,35 @@ def merge_pairs(child: DataFrame, parent: DataFrame, keys: Sequence[str]) -> Dat
     return ranked.groupBy(*keys, "key").agg(F.min_by("value", "rank").alias("value"))
 
 
-def merge_config_sets(child: DataFrame, parent: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """U4: the files of a child and its parent job as one set of lines.
+def merge_config_sets(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """U4: the files of a child job (side 0) and its parent (side 1) as one set of lines.
 
-    Inputs: (keys..., file, layer, pos, line). A file of one side stays as it is; a file of
-    both sides is merged by its format: key by key for ini and xml, child lines then parent
-    lines for plain. Output: (keys..., file, format, merged, layer, pos, line); merged
-    key/value lines have NULL layer and pos and are ordered by their text's key.
+    ``lines``: (keys..., file, side, layer, pos, line). A file of one side stays as it is; a
+    file of both sides is merged by its format: key by key for ini and xml, child lines then
+    parent lines for plain. Output: (keys..., file, format, merged, side, layer, pos, line);
+    a merged pair keeps the place of the line that won. A NULL line stands for an empty file.
+
+    One aggregate merges all files: pairs to be merged meet under their key, any other line
+    is its own group.
     """
     scope = [*keys, "file"]
-    columns = [*scope, "layer", "pos", "line"]
-    both = child.select(*columns, F.lit(0).alias("side")).unionByName(
-        parent.select(*columns, F.lit(1).alias("side"))
-    ).withColumn("format", tf.config_format(F.col("file")))
-    sides = both.groupBy(*scope).agg((F.min("side") != F.max("side")).alias("shared"))
-    tagged = both.join(sides, scope)
-    merge_now = F.col("shared") & F.col("format").isin("ini", "xml")
-    good, _ = split_pairs(tagged.filter(merge_now))
-    # Inside one side the last line of a key wins, then the child side wins: one ordering.
-    merged = good.groupBy(*scope, "format", "key").agg(
-        F.max_by("value", F.struct(-F.col("side"), F.col("layer"), F.col("pos"))).alias("value")
-    ).select(
-        *scope, "format", F.lit(True).alias("merged"),
-        F.lit(None).cast("bigint").alias("layer"), F.lit(None).cast("bigint").alias("pos"),
-        F.concat("key", F.lit("="), "value").alias("line"),
-    )
-    # A plain file of both sides: the parent's layers follow the child's.
-    shift = F.when(F.col("shared"), F.col("side") * F.lit(1 << 20)).otherwise(F.lit(0))
-    # Empty files, and lines that are no pair and so spoil their file, also pass through.
-    no_pair = F.col("line").isNull() | (F.instr("line", "=") == 0)
-    rest = tagged.filter(~merge_now | no_pair).select(
-        *scope, "format", merge_now.alias("merged"),
-        (F.col("layer") + shift).cast("bigint").alias("layer"), F.col("pos").cast("bigint").alias("pos"), "line",
-    )
-    return rest.unionByName(merged)
+    sides = lines.groupBy(*scope).agg((F.min("side") != F.max("side")).alias("shared"))
+    line = F.col("line")
+    tagged = lines.withColumn("format", tf.config_format(F.col("file"))).join(sides, scope)
+    merged = F.col("shared") & F.col("format").isin("ini", "xml")
+    pair = merged & (F.instr(line, "=") > 0)
+    own_place = F.when(~F.coalesce(pair, F.lit(False)), F.struct("side", "layer", "pos"))
+    # Inside one side the last line of a key wins, and the child side wins over the parent.
+    strength = F.struct((-F.col("side")).alias("s"), F.col("layer"), F.col("pos"))
+    place = F.struct("side", "layer", "pos", "line")
+    grouped = tagged.groupBy(
+        *scope, "format", merged.alias("merged"),
+        F.when(pair, F.substring_index("line", "=", 1)).otherwise(line).alias("name"), own_place.alias("own"),
+    ).agg(F.max_by(place, strength).alias("w"), F.count("*").cast("int").alias("n"))
+    # Equal lines at one place are a repeated line, not one line.
+    times = F.when(F.col("own").isNull(), 1).otherwise(F.col("n"))
+    repeated = grouped.select(*scope, "format", "merged", F.explode(F.array_repeat("w", times)).alias("w"))
+    return repeated.select(*scope, "format", "merged", "w.side", "w.layer", "w.pos", "w.line")
 
 
 def _xml_property(key: Column, value: Column) -> Column:
@@ -107,45 +102,49 @@ def _xml_property(key: Column, value: Column) -> Column:
 
 
 def render_files(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One text per file out of (keys..., file, format, merged, layer, pos, line).
+    """One text per file out of (keys..., file, format, merged, side, layer, pos, line).
 
     ini and plain print their lines in order (merged ini in key order); xml collapses its
-    pairs and prints them in key order. Texts are not escaped. A file whose only line is
-    NULL is empty. A key/value file with a line without ``=`` has NULL text.
+    pairs and prints them in key order. Texts are not escaped. A NULL line stands for an
+    empty file. A file with a line without ``=`` where a pair is due has NULL text.
     """
     scope = [*keys, "file", "format"]
-    files = lines.groupBy(*scope).agg(
-        F.max(
-            F.col("line").isNotNull() & (F.instr("line", "=") == 0)
-            & ((F.col("format") == "xml") | F.col("merged"))
-        ).alias("broken")
+    line, is_xml = F.col("line"), F.col("format") == "xml"
+    keyed = is_xml | F.col("merged")
+    name = F.substring_index("line", "=", 1)
+    # Keyed lines sort by key; the others by place, with the text as a last resort.
+    rank = F.struct(
+        F.when(keyed, 0).otherwise(F.col("side")).cast("bigint").alias("side"),
+        F.when(keyed, 0).otherwise(F.col("layer")).cast("bigint").alias("layer"),
+        F.when(keyed, 0).otherwise(F.col("pos")).cast("bigint").alias("pos"),
+        F.when(keyed, name).otherwise(line).alias("text"),
     )
-    present = lines.filter(F.col("line").isNotNull())
-    is_xml = F.col("format") == "xml"
-    in_place = present.filter(~is_xml & ~F.col("merged"))
-    order = F.struct("layer", "pos")
-    chunk = F.struct(F.col("layer"), F.floor(F.col("pos") / F.lit(ordered.CHUNK)).alias("c"))
-    text = ordered.ordered_concat(in_place, scope, order, chunk, F.col("line"), "\n", "text")
-
-    sorted_ini, _ = split_pairs(present.filter(~is_xml & F.col("merged")))
-    text = text.unionByName(ordered.by_text(sorted_ini, scope, F.col("key"), F.col("line"), "\n", "text"))
-
-    pairs, _ = split_pairs(present.filter(is_xml))
-    once = collapse_pairs(pairs, scope)
-    xml = ordered.by_text(
-        once, scope, F.col("key"), _xml_property(F.col("key"), F.col("value")), "\n", "text"
+    cells = lines.groupBy(*scope, keyed.alias("keyed"), rank.alias("rank")).agg(
+        F.max_by("line", F.struct("side", "layer", "pos")).alias("line"),
+        F.count("*").alias("n"),
+        F.max(F.col("line").isNotNull() & (F.instr("line", "=") == 0)).alias("no_pair"),
     )
-    text = text.unionByName(xml)
-
-    full = files.join(text, scope, "left")
-    body = F.coalesce("text", F.lit(""))
+    value = F.expr("substring(line, instr(line, '=') + 1)")
+    text = (
+        F.when(is_xml, _xml_property(name, value)).when(F.col("keyed"), line)
+        .otherwise(F.array_join(F.array_repeat(line, F.col("n").cast("int")), "\n"))
+    )
+    chunk = F.struct(
+        F.col("rank.side"), F.col("rank.layer"),
+        F.floor(F.col("rank.pos") / F.lit(ordered.CHUNK)).alias("c"),
+        F.when(F.col("keyed"), F.substring("rank.text", 1, ordered.KEY_PREFIX)).alias("p"),
+    )
+    joined = ordered.ordered_concat(
+        cells, scope, F.col("rank"), chunk, text, "\n", "body", F.col("keyed") & F.col("no_pair"), "broken"
+    )
+    body = F.col("body")
     wrapped = F.when(
         is_xml,
         F.concat(
             F.lit("<configuration>\n"), body, F.when(body != "", "\n").otherwise(""), F.lit("</configuration>")
         ),
     ).otherwise(body)
-    return full.select(*scope, F.when(~F.col("broken"), wrapped).alias("text"))
+    return joined.select(*scope, F.when(~F.col("broken"), wrapped).alias("text"))
 
 
 # -- command line ---------------------------------------------------------------------

@@ -15,26 +15,17 @@ def inherit_union(child: Column, parent: Column) -> Column:
     return F.concat(child, F.array_except(parent, child))
 
 
+# Codes in a BIGINT with the layer, so that the winner of a path is a plain hash aggregate.
 _KIND_CODE = {"map": 0, "list": 1, "scalar": 2}
 
 
 def _code(kind: Column) -> Column:
-    out = F.when(kind == "map", 0)
-    for name in ("list", "scalar"):
-        out = out.when(kind == name, _KIND_CODE[name])
+    out = None
+    for name, code in _KIND_CODE.items():
+        out = F.when(kind == name, code) if out is None else out.when(kind == name, code)
     return out
 
 
-def list_union_rows(items: DataFrame, keys: list[str]) -> DataFrame:
-    """U1 on rows (keys, layer, pos, value): an item stays in the nearest layer that has it.
-
-    Aggregate and join back rather than a window, so a very long list is combined before the
-    shuffle and its join partition can be split.
-    """
-    nearest = items.groupBy(*keys, "value").agg(F.min("layer").alias("layer"))
-    return items.join(nearest, [*keys, "value", "layer"], "left_semi")
-
-
 def overlay(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Merge the layers of each document; layer 0 is the nearest and wins.
 
@@ -42,30 +33,37 @@ def overlay(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     layer and pos (list order is layer, then pos), and the rejects (doc, path, reason).
     The nearest non-null layer fixes the kind of a path. A farther map or list of another
     kind rejects the document; a farther scalar under a map or list is ignored.
+
+    Two aggregates, per path and per list item, are joined back to the rows. There is no
+    window: a very long list or a path of very many layers is combined before the shuffle,
+    and its join partition can be split.
     """
-    bad_leaf = leaves.filter(F.col("kind") == "error").select(
-        "doc", "path", F.concat(F.lit("bad value: "), F.coalesce("value", F.lit(""))).alias("reason")
+    kind = F.col("kind")
+    paths = leaves.groupBy("doc", "path").agg(
+        F.min(F.col("layer") * 4 + _code(kind)).alias("won"),
+        F.max(kind == "map").alias("has_map"),
+        F.max(kind == "list").alias("has_list"),
+        F.max(kind == "error").alias("has_error"),
     )
-    known = leaves.filter(F.col("kind").isin(list(_KIND_CODE)))
-    # One BIGINT carries (layer, kind), so the winner is a plain hash aggregate.
-    winner = known.groupBy("doc", "path").agg(F.min(F.col("layer") * 4 + _code(F.col("kind"))).alias("won"))
-    judged = known.join(winner, ["doc", "path"]).select(
-        *leaves.columns,
-        (F.col("won") % 4).alias("won_kind"),
-        F.floor(F.col("won") / 4).alias("won_layer"),
+    won_kind = F.col("won") % 4
+    clash = (F.col("has_map") & (won_kind != 0)) | (F.col("has_list") & (won_kind != 1))
+    rejects = paths.filter(F.col("has_error") | clash).select(
+        "doc", "path", F.when(F.col("has_error"), "bad value").otherwise("kind conflict").alias("reason")
     )
-    same = _code(F.col("kind")) == F.col("won_kind")
-    conflicts = judged.filter(~same & (F.col("kind") != "scalar")).select(
-        "doc", "path", F.lit("kind conflict").alias("reason")
+    # An item belongs to the nearest layer that has it.
+    items = leaves.filter((kind == "list") & F.col("pos").isNotNull())
+    nearest = items.groupBy("doc", "path", "value").agg(F.min("layer").alias("item_layer"))
+    judged = leaves.filter(kind.isin(list(_KIND_CODE))).join(
+        paths.select("doc", "path", won_kind.alias("won_kind"), F.floor(F.col("won") / 4).alias("won_layer")),
+        ["doc", "path"],
+    ).join(nearest, ["doc", "path", "value"], "left")
+    is_item = (kind == "list") & F.col("pos").isNotNull()
+    kept = judged.filter(
+        (_code(kind) == F.col("won_kind"))
+        & F.when(is_item, F.col("layer") == F.col("item_layer")).otherwise(F.col("layer") == F.col("won_layer"))
     )
-    rejects = bad_leaf.unionByName(conflicts)
-    nearest_only = same & (F.col("layer") == F.col("won_layer"))
-    single = judged.filter(
-        nearest_only & ((F.col("kind") != "list") | F.col("pos").isNull())
-    ).select(*leaves.columns)
-    items = judged.filter(same & (F.col("kind") == "list") & F.col("pos").isNotNull()).select(*leaves.columns)
-    merged = single.unionByName(list_union_rows(items, ["doc", "path"]).select(*leaves.columns))
-    return merged.join(rejects.select("doc").distinct(), "doc", "left_anti"), rejects
+    bad = rejects.select("doc").distinct()
+    return kept.select(*leaves.columns).join(bad, "doc", "left_anti"), rejects
 
 
 # The fields every cluster document must have.

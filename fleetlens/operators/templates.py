@@ -98,22 +98,23 @@ def _field(name: str) -> Column:
 
 
 def extract_placeholders(templates: DataFrame, doc: Sequence[str], skip_host: bool = False) -> DataFrame:
-    """One row per distinct placeholder of each document: (doc..., cluster, token, form, ordinal,
-    job, task_id, attr, plus). Host-relative forms take the task id of the rendered row."""
+    """One row per distinct placeholder of each document: (doc..., in_cluster, token, form,
+    ordinal, at_job, at_task, attr, plus). Host-relative forms take the task id of the
+    rendered row."""
     rows = templates.select(
-        *doc, "cluster", "task_id",
+        *doc, F.col("cluster").alias("in_cluster"), F.col("task_id").alias("own_task"),
         F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))).alias("token"),
     ).withColumn("form", classify(F.col("token"))).filter(F.col("form").isNotNull())
     if skip_host:
         rows = rows.filter(~F.col("form").isin(list(HOST_FORMS)))
-    task = F.when(F.col("form").isin(list(HOST_FORMS)), F.col("task_id")).otherwise(
+    task = F.when(F.col("form").isin(list(HOST_FORMS)), F.col("own_task")).otherwise(
         _field("task").try_cast("bigint")
     )
     return rows.select(
-        *doc, "cluster", "token", "form",
+        *doc, "in_cluster", "token", "form",
         _field("ordinal").try_cast("bigint").alias("ordinal"),
-        _field("job").alias("job"),
-        task.alias("task_id"),
+        _field("job").alias("at_job"),
+        task.alias("at_task"),
         _field("attr").alias("attr"),
         F.coalesce(_field("plus").try_cast("bigint"), F.lit(0)).alias("plus"),
     )
@@ -133,12 +134,15 @@ def resolve_placeholders(
     have no tasks; ``names``: (cluster, cluster_name), only needed when clusters are known by
     something else than their name. All lookups are equi-joins on the full key.
     """
-    through = placeholders.join(dependencies, ["cluster", "ordinal"], "left")
+    through = placeholders.join(
+        dependencies.select(F.col("cluster").alias("in_cluster"), "ordinal", "dep_cluster"),
+        ["in_cluster", "ordinal"], "left",
+    )
     is_dep = F.col("form").startswith("dep_")
-    located = through.withColumn("target", F.when(is_dep, F.col("dep_cluster")).otherwise(F.col("cluster")))
+    located = through.withColumn("target", F.when(is_dep, F.col("dep_cluster")).otherwise(F.col("in_cluster")))
 
     by_task = tasks.select(
-        F.col("cluster").alias("target"), "job", "task_id", "attributes"
+        F.col("cluster").alias("target"), F.col("job").alias("at_job"), F.col("task_id").alias("at_task"), "attributes"
     )
     is_list = F.col("form").isin("server_list", "dep_server_list")
     is_name = F.col("form").isin("cluster_name", "dep_cluster_name")
@@ -150,7 +154,7 @@ def resolve_placeholders(
         named = named.join(
             names.select(F.col("cluster").alias("target"), F.col("cluster_name").alias("value")), "target", "left"
         )
-    attrs = located.filter(~is_list & ~is_name).join(by_task, ["target", "job", "task_id"], "left")
+    attrs = located.filter(~is_list & ~is_name).join(by_task, ["target", "at_job", "at_task"], "left")
     raw = F.try_element_at("attributes", F.col("attr"))
     plus = F.col("form").endswith("_plus")
     attrs = attrs.withColumn(
@@ -159,15 +163,15 @@ def resolve_placeholders(
     ).drop("attributes")
 
     wanted = located.filter(is_list)
-    referenced = wanted.select(F.col("target").alias("cluster"), "job").distinct()
+    referenced = wanted.select(F.col("target").alias("cluster"), F.col("at_job").alias("job")).distinct()
     lists = server_lists(tasks.join(referenced, ["cluster", "job"], "left_semi"))
     if jobs is not None:
         lists = jobs.select("cluster", "job").join(lists, ["cluster", "job"], "left").withColumn(
             "server_list", F.coalesce("server_list", F.lit(""))
         )
     listed = wanted.join(
-        lists.select(F.col("cluster").alias("target"), "job", F.col("server_list").alias("value")),
-        ["target", "job"], "left",
+        lists.select(F.col("cluster").alias("target"), F.col("job").alias("at_job"), F.col("server_list").alias("value")),
+        ["target", "at_job"], "left",
     )
     out = named.unionByName(attrs).unionByName(listed)
     return out.select(*placeholders.columns, "value")

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions import text as tf
 from fleetlens.operators import jobs as jb, layers, templates as tp
+from fleetlens.session import stage
 from fleetlens.sources.documents import flatten_documents
 
 
 def merged_leaves(layer_docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc, layer, value JSON) -> (merged leaf rows, rejects)."""
-    return layers.overlay(flatten_documents(layer_docs))
+    return layers.overlay(stage(flatten_documents(layer_docs), "leaves"))
 
 
 def cluster_fields(leaves: DataFrame) -> DataFrame:
@@ -47,30 +48,25 @@ def task_rows(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def config_lines(leaves: DataFrame) -> DataFrame:
-    """(doc, job, super_job, file, layer, pos, line) of every ``config`` entry; an empty file
-    has one row with NULL line."""
-    of_jobs = _job_leaves(leaves)
-    parents = of_jobs.filter((F.col("section") == "super_job") & (F.col("kind") == "scalar")).select(
-        "doc", "job", F.col("value").alias("super_job")
-    )
-    lines = of_jobs.filter((F.col("section") == "config") & (F.col("kind") == "list")).select(
+    """(doc, job, file, layer, pos, line) of every ``config`` entry; an empty file has one row
+    with NULL line."""
+    return _job_leaves(leaves).filter((F.col("section") == "config") & (F.col("kind") == "list")).select(
         "doc", "job", F.col("item").alias("file"), "layer", "pos", F.col("value").alias("line")
     )
-    return lines.join(parents, ["doc", "job"], "left")
 
 
 def job_files(leaves: DataFrame) -> DataFrame:
     """The files of each job with those of its parent merged in, rendered: (doc, job, file, text)."""
     lines = config_lines(leaves).withColumn("pos", F.coalesce("pos", F.lit(0)))
+    own = lines.select("doc", "job", "file", F.lit(0).alias("side"), "layer", "pos", "line")
     # Read from the leaves, so that a job without files of its own inherits too.
     heirs = _job_leaves(leaves).filter((F.col("section") == "super_job") & (F.col("kind") == "scalar")).select(
-        "doc", "job", F.col("value").alias("super_job")
+        "doc", "job", F.col("value").alias("parent")
+    )
+    inherited = heirs.join(own.withColumnRenamed("job", "parent"), ["doc", "parent"]).select(
+        "doc", "job", "file", F.lit(1).alias("side"), "layer", "pos", "line"
     )
-    inherited = heirs.join(
-        lines.select("doc", F.col("job").alias("super_job"), "file", "layer", "pos", "line"), ["doc", "super_job"]
-    ).drop("super_job")
-    merged = jb.merge_config_sets(lines.drop("super_job"), inherited, ["doc", "job"])
-    return jb.render_files(merged, ["doc", "job"])
+    return jb.render_files(jb.merge_config_sets(own.unionByName(inherited), ["doc", "job"]), ["doc", "job"])
 
 
 def effective_config(
@@ -82,7 +78,8 @@ def effective_config(
     over document ids. Overlay, inheritance, rendering, placeholders and runtime variables
     run as joins over all documents at once.
     """
-    leaves, _ = merged_leaves(layer_docs)
+    merged, _ = merged_leaves(layer_docs)
+    leaves = stage(merged, "merged")
     tasks, _ = task_rows(leaves)
     files = job_files(leaves)
     fleet = tasks.withColumnRenamed("doc", "cluster")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution picks partition counts, turns joins into broadcasts only when the
 # measured side is small, and splits skewed join partitions.
@@ -53,3 +53,14 @@ def work_root(spark: SparkSession) -> str:
 def new_work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder path below the shared root; nothing is ever reused or deleted."""
     return f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    For results several later steps read: they scan columns instead of repeating the work,
+    and a lost executor does not bring the work back.
+    """
+    path = new_work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -200,31 +200,31 @@ def kv_merge(spark, sf):
 
 
 _SETS = f"""WITH {CONFIG}, s AS (SELECT *, min(layer) OVER (PARTITION BY doc) <> max(layer) OVER (PARTITION BY doc) AS shared FROM cfg),
-sets AS (SELECT doc, file, format, shared AND format <> 'plain' AS merged,
-layer + CASE WHEN shared AND layer = 1 THEN 1048576 ELSE 0 END AS layer, pos, line FROM s
+sets AS (SELECT doc, file, format, shared AND format <> 'plain' AS merged, layer AS side, pos, line, key, value FROM s
 WHERE NOT shared OR format = 'plain' OR value IS NULL
-UNION ALL SELECT doc, file, format, true AS merged, NULL AS layer, NULL AS pos,
-key || '=' || arg_max(value, (1 - layer) * 1000000000000 + pos) AS line FROM s
-WHERE shared AND format <> 'plain' AND value IS NOT NULL GROUP BY doc, file, format, key)"""
+UNION ALL SELECT doc, file, format, true AS merged, min(layer) AS side, arg_max(pos, (1 - layer) * 1000000000000 + pos) AS pos,
+key || '=' || arg_max(value, (1 - layer) * 1000000000000 + pos) AS line, key, arg_max(value, (1 - layer) * 1000000000000 + pos) AS value
+FROM s WHERE shared AND format <> 'plain' AND value IS NOT NULL GROUP BY doc, file, format, key)"""
 
 
 def _config_sets(spark, sf):
-    lines = ad.config_lines(spark, sf)
-    return jb.merge_config_sets(lines.filter("layer = 0"), lines.filter("layer = 1"), ["doc"])
+    lines = ad.config_lines(spark, sf).withColumn("side", F.col("layer"))
+    return jb.merge_config_sets(lines, ["doc"])
 
 
-@query("config_set_merge", f"{_SETS} SELECT * FROM sets")
+@query("config_set_merge", f"{_SETS} SELECT doc, file, format, merged, side, pos, line FROM sets")
 def config_set_merge(spark, sf):
-    return _config_sets(spark, sf)
+    return _config_sets(spark, sf).select("doc", "file", "format", "merged", "side", "pos", "line")
 
 
 @query("config_render", f"""{_SETS}, f AS (SELECT doc, file, format,
-bool_or(position('=' IN line) = 0 AND (format = 'xml' OR merged)) AS broken FROM sets GROUP BY 1, 2, 3),
-pairs AS (SELECT doc, file, split_part(line, '=', 1) AS key, arg_max(substr(line, position('=' IN line) + 1),
-coalesce(layer, 0) * 1000000000000 + coalesce(pos, 0)) AS value FROM sets WHERE format = 'xml' AND position('=' IN line) > 0 GROUP BY 1, 2, 3),
+bool_or(value IS NULL AND (format = 'xml' OR merged)) AS broken FROM sets GROUP BY 1, 2, 3),
+pairs AS (SELECT doc, file, key, arg_max(value, side * 1000000000000 + pos) AS value FROM sets
+WHERE format = 'xml' AND value IS NOT NULL GROUP BY 1, 2, 3),
 body AS (SELECT doc, file, string_agg('  <property>' || chr(10) || '    <name>' || key || '</name>' || chr(10) || '    <value>' ||
 value || '</value>' || chr(10) || '  </property>', chr(10) ORDER BY key) AS t FROM pairs GROUP BY 1, 2
-UNION ALL SELECT doc, file, string_agg(line, chr(10) ORDER BY layer, pos, split_part(line, '=', 1), line) AS t FROM sets WHERE format <> 'xml' GROUP BY 1, 2)
+UNION ALL SELECT doc, file, string_agg(line, chr(10) ORDER BY CASE WHEN merged THEN key ELSE '' END, side, pos, line) AS t
+FROM sets WHERE format <> 'xml' GROUP BY 1, 2)
 SELECT f.doc, f.file, f.format, CASE WHEN broken THEN NULL WHEN f.format = 'xml' THEN '<configuration>' || chr(10) ||
 coalesce(t || chr(10), '') || '</configuration>' ELSE t END AS text FROM f LEFT JOIN body b ON f.doc = b.doc AND f.file = b.file""")
 def config_render(spark, sf):
