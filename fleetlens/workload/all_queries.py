@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["metrics", "timeseries", "configs"]
+MODULES = ["metrics", "timeseries", "configs", "fleet"]
 
 
 def load() -> None:
