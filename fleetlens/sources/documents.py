@@ -84,7 +84,7 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
         "path",
         F.element_at(F.split("path", "/"), -2).alias("project"),
         F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.decode("content", F.lit("UTF-8")).alias("value"),
+        F.decode("content", "UTF-8").alias("value"),
     )
 
 

@@ -1,0 +1,97 @@
+"""Streams that carry one row per key from batch to batch.
+
+A keyed Python state function would pull all rows of a hot key through one task. Here each
+micro-batch runs the same distributed operator as the batch job, together with a table of
+the last row per key. That table has two slots: batch n reads slot n-1 and overwrites slot
+n, so a repeated batch gives the same result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from fleetlens.operators import series as sr
+from fleetlens.session import new_work_dir
+
+Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def fold_batches(stream: DataFrame, root: str, state_schema: T.StructType | str, step: Step):
+    """Start the stream; ``step(batch, state)`` gives (output, new state) for each micro-batch.
+
+    Output goes to ``root/out/batch=n``, the state to ``root/state/slot=n % 2``.
+    """
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        empty = spark.createDataFrame([], state_schema)
+        previous = empty
+        if number > 0:
+            previous = spark.read.schema(empty.schema).parquet(f"{root}/state/slot={(number - 1) % 2}")
+        output, state = step(batch, previous)
+        output.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+        state.write.mode("overwrite").parquet(f"{root}/state/slot={number % 2}")
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{root}/checkpoint").trigger(
+        availableNow=True
+    ).start()
+
+
+RATE_STATE = "series_key string, ts timestamp, value double"
+RATE_OUT = "series_key string, ts timestamp, rate double"
+
+
+def rate_step(counter: bool, counter_max: float | None, order: str) -> Step:
+    def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        points = sr.latest_per_second(batch, order)
+        last = state.select("series_key", F.col("ts").alias("last_ts"))
+        # A point that is not after the carried one came too late to be rated.
+        fresh = points.join(last, "series_key", "left").filter(
+            F.col("last_ts").isNull() | (F.col("ts") > F.col("last_ts"))
+        ).select("series_key", "ts", "value")
+        rows = state.unionByName(fresh)
+        rates = sr.rate(rows, counter=counter, counter_max=counter_max)
+        carried = rows.groupBy("series_key").agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
+        return rates, carried
+
+    return step
+
+
+def stream_rate(
+    points: DataFrame, order: str, counter: bool = False, counter_max: float | None = None, label: str = "rate"
+) -> DataFrame:
+    """T5: W1/W2 on a stream of (series_key, ts, value, order)."""
+    spark = points.sparkSession
+    root = new_work_dir(spark, label)
+    fold_batches(points, root, RATE_STATE, rate_step(counter, counter_max, order)).awaitTermination()
+    return spark.read.schema(RATE_OUT).parquet(f"{root}/out")
+
+
+STATUS_STATE = "key string, seq bigint, ts timestamp, status string"
+
+
+def status_step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The latest report per key, in and out: the new state is also the output."""
+    rows = state.unionByName(batch.select("key", "seq", "ts", "status"))
+    latest = rows.groupBy("key").agg(
+        F.max("seq").alias("seq"), F.max_by("ts", "seq").alias("ts"), F.max_by("status", "seq").alias("status")
+    )
+    changed = latest.join(state.select("key", F.col("seq").alias("old")), "key", "left").filter(
+        F.col("old").isNull() | (F.col("seq") > F.col("old"))
+    ).drop("old")
+    return changed, latest
+
+
+def stream_status(
+    reports: DataFrame, ttl_seconds: int, as_of: Column, label: str = "status"
+) -> DataFrame:
+    """The state of every key after the stream: its last report, or Unknown once that is
+    older than the ttl at ``as_of``. ``reports``: (key, seq, ts, status)."""
+    spark = reports.sparkSession
+    root = new_work_dir(spark, label)
+    fold_batches(reports, root, STATUS_STATE, status_step).awaitTermination()
+    changes = spark.read.schema(STATUS_STATE).parquet(f"{root}/out")
+    latest = changes.groupBy("key").agg(F.max_by("ts", "seq").alias("ts"), F.max_by("status", "seq").alias("status"))
+    stale = F.col("ts") < as_of - F.expr(f"INTERVAL '{int(ttl_seconds)}' SECOND")
+    return latest.withColumn("status", F.when(stale, "Unknown").otherwise(F.col("status")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["metrics", "timeseries", "configs", "fleet"]
+MODULES = ["metrics", "timeseries", "configs", "fleet", "streams"]
 
 
 def load() -> None:
