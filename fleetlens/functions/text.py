@@ -186,7 +186,7 @@ def html_id(text: Column) -> Column:
 
 
 def comma_list(text: Column) -> Column:
-    return F.transform(F.split(text, ","), F.trim)
+    return F.split(F.trim(text), ",")
 
 
 def config_format(file_name: Column) -> Column:

@@ -35,6 +35,32 @@ def job_root_dir(root: Column, cluster: Column, job: Column, task_id: Column) ->
     return F.concat(root, F.lit("/"), cluster, F.lit("/"), job, F.lit("."), task_id.cast("string"))
 
 
+def render_program(programs: DataFrame, agent_root: str) -> DataFrame:
+    """X7 on program rows (name, job, task_id, bin, args, configs): variables replaced in the
+    binary, the arguments and in file names and contents, plus ``root_dir``. Two file names
+    that become equal leave the later one."""
+    root, task = F.lit(agent_root), F.col("task_id")
+
+    def fill(text: Column) -> Column:
+        return runtime_vars(text, root, task)
+
+    files = F.transform(
+        F.map_entries("configs"), lambda e: F.struct(fill(e["key"]).alias("key"), fill(e["value"]).alias("value"))
+    )
+    last = F.filter(
+        files,
+        lambda e, i: ~F.exists(
+            F.slice(files, i + F.lit(2), F.size(files)), lambda later: later["key"] == e["key"]
+        ),
+    )
+    return programs.withColumns({
+        "bin": fill(F.col("bin")),
+        "args": F.transform("args", fill),
+        "configs": F.map_from_entries(last),
+        "root_dir": job_root_dir(root, F.col("name"), F.col("job"), task),
+    })
+
+
 def server_lists(tasks: DataFrame) -> DataFrame:
     """``host:base_port,...`` in task-id order for each (cluster, job)."""
     address = F.concat("host", F.lit(":"), F.col("base_port").cast("string"))

@@ -4,6 +4,7 @@ inventories (S7), dashboards (S8) and the flattening of untyped trees (S10)."""
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -78,9 +79,12 @@ def yaml_to_json(texts: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """Every regular file one directory below ``root`` as (path, project, file, value)."""
+    """Every regular file one directory below ``root`` (an absolute path or URI) as (path,
+    project, file, value). The pattern also opens deeper folders; their files are left out."""
     files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*")
-    return files.select(
+    bare_root = re.sub(r"^[A-Za-z0-9+.-]+:/*", "", root).strip("/")
+    below = F.split(F.substring_index("path", bare_root + "/", -1), "/")
+    return files.filter(F.size(below) == 2).select(
         "path",
         F.element_at(F.split("path", "/"), -2).alias("project"),
         F.element_at(F.split("path", "/"), -1).alias("file"),

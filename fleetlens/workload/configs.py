@@ -263,13 +263,23 @@ def env_substitute(spark, sf):
 
 
 @query("runtime_vars", """SELECT o_orderkey, '/agent/c' || o_custkey || '/' || o_orderstatus || '.' || o_orderkey AS root_dir,
-'/agent/log/' || o_orderkey || ':' || o_orderkey || '$Task' AS text FROM orders""")
+'/agent/bin/run' AS bin, '-d|/agent/data/' || o_orderkey AS args, 'id=' || o_orderkey || ' of /agent$Task' AS myid,
+o_orderpriority AS other FROM orders""")
 def runtime_vars(spark, sf):
-    root, task = F.lit("/agent"), F.col("o_orderkey")
-    return table(spark, sf, "orders").select(
-        "o_orderkey",
-        tp.job_root_dir(root, _text("c", F.col("o_custkey")), F.col("o_orderstatus"), task).alias("root_dir"),
-        tp.runtime_vars(F.lit("$AgentRootDir/log/$TaskId:$TaskId$Task"), root, task).alias("text"),
+    programs = table(spark, sf, "orders").select(
+        _text("c", F.col("o_custkey")).alias("name"), F.col("o_orderstatus").alias("job"),
+        F.col("o_orderkey").alias("task_id"), F.lit("$AgentRootDir/bin/run").alias("bin"),
+        F.array(F.lit("-d"), F.lit("$AgentRootDir/data/$TaskId")).alias("args"),
+        F.create_map(
+            F.lit("$AgentRootDir/$TaskId/myid"), F.lit("id=$TaskId of $AgentRootDir$Task"),
+            F.lit("other"), F.col("o_orderpriority"),
+        ).alias("configs"),
+    )
+    done = tp.render_program(programs, "/agent")
+    return done.select(
+        F.col("task_id").alias("o_orderkey"), "root_dir", "bin", F.array_join("args", "|").alias("args"),
+        F.try_element_at("configs", _text("/agent/", F.col("task_id"), "/myid")).alias("myid"),
+        F.try_element_at("configs", F.lit("other")).alias("other"),
     )
 
 
