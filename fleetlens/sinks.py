@@ -45,5 +45,9 @@ def config_path(root: Column, cluster: Column, job: Column, task_id: Column, fil
 
 
 def write_configs(files: DataFrame, path: str) -> None:
-    """K3: (cluster, job, task_id, target, text) rows, one folder per cluster."""
-    files.write.mode("overwrite").partitionBy("cluster").parquet(path)
+    """K3: (cluster, job, task_id, target, text) rows, ordered by target inside each file.
+
+    Not partitioned by cluster: a fleet has too many clusters for a folder each, and the
+    file statistics already let a reader skip to its targets.
+    """
+    files.sortWithinPartitions("target").write.mode("overwrite").parquet(path)

@@ -97,22 +97,24 @@ def kv_lines(payloads: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def jstat_values(text: Column) -> Column:
-    """The 17 numbers of a three-line collector text, NULL when the record is malformed."""
-    lines = F.split(text, "\n")
-    words = F.filter(F.split(F.get(lines, 1), " "), lambda w: w != "")
-    numbers = F.transform(words, single_precision)
-    usable = (
-        (F.size(lines) == 3)
-        & (F.size(words) == len(GC_COLUMNS))
-        & ~F.exists(numbers, lambda n: n.isNull())
-    )
-    return F.when(usable, numbers)
-
-
 def parse_jstat(payloads: DataFrame, value: str = "value") -> DataFrame:
-    """Adds ``gc array<double>``; NULL marks a rejected record."""
-    return payloads.select(*_without(payloads, value), jstat_values(F.col(value)).alias("gc"))
+    """Adds ``gc array<double>``, the 17 numbers of a three-line collector text; NULL marks
+    a rejected record. Each step is its own column, so no text is split or cast twice."""
+    keep = _without(payloads, value)
+    lines = payloads.select(*keep, F.split(value, "\n").alias("lines"))
+    words = lines.select(
+        *keep, F.size("lines").alias("n_lines"),
+        F.filter(F.split(F.get("lines", F.lit(1)), " +"), lambda w: w != "").alias("words"),
+    )
+    numbers = words.select(
+        *keep,
+        F.when(
+            (F.col("n_lines") == 3) & (F.size("words") == len(GC_COLUMNS)),
+            F.transform("words", single_precision),
+        ).alias("numbers"),
+    )
+    whole = F.col("numbers").isNotNull() & ~F.array_contains(F.transform("numbers", F.isnull), True)
+    return numbers.select(*keep, F.when(whole, F.col("numbers")).alias("gc"))
 
 
 def split_rejects(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from fleetlens.functions import text as tf
 from fleetlens.operators import rules as rl
 from fleetlens.operators.points import with_series_key
-from fleetlens.workload.registry import table
+from fleetlens.workload.registry import spread, table
 
 FLAGS = ["A", "N", "R"]
 
@@ -122,7 +122,9 @@ def jmx_hbase(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _order_scrapes(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders")
+    orders = spread(table(spark, sf, "orders").select(
+        "o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_totalprice"
+    ))
     return orders.select(
         _text("hdfs-", F.substring("o_orderpriority", 1, 1)).alias("cluster"),
         "o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority",
@@ -227,7 +229,7 @@ def kv_payloads(spark: SparkSession, sf: str) -> DataFrame:
         _text("zk_big\t99999999999999", F.lpad(c("p_partkey").cast("string"), 10, "0")),
         _text("zk_three\t", c("p_size"), "\t1"), F.lit("no tab here"), F.lit(""),
     )
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")).select(
         c("p_type").alias("cluster"), _text("zk", c("p_partkey")).alias("host"), F.lit(2181).alias("port"),
         F.lit("2024-01-01").cast("timestamp").alias("ts"), value.alias("value"),
     )
@@ -246,7 +248,8 @@ def jstat_payloads(spark: SparkSession, sf: str) -> DataFrame:
         "S0C  S1C  S0U  GCT\n   ", F.concat_ws("  ", *numbers), tail,
         F.when(c("o_orderpriority") == "5-LOW", "").otherwise("\n   "),
     )
-    return table(spark, sf, "orders").select(c("o_orderkey").alias("payload_id"), value.alias("value"))
+    orders = spread(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice"))
+    return orders.select(c("o_orderkey").alias("payload_id"), value.alias("value"))
 
 
 def event_points(spark: SparkSession, sf: str) -> DataFrame:
@@ -374,6 +377,7 @@ def config_lines(spark: SparkSession, sf: str) -> DataFrame:
 def layer_documents(spark: SparkSession, sf: str) -> DataFrame:
     """A three-layer cluster document per customer: customer over nation over region."""
     customer, nation, region = (table(spark, sf, t) for t in ("customer", "nation", "region"))
+    customer = spread(customer)
     c = F.col
     quote = lambda col: _text('"', col, '"')
     # A negative balance makes the hosts a string, which conflicts with the list below it.
