@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions import ordered, text as tf
+from fleetlens.session import stage
 
 # The variables a document may use.
 ENV_VARIABLES = ["ConfRootDir", "PkgRootDir", "PkgConfDir", "PkgDataDir", "PkgLogDir", "PkgStdoutDir"]
@@ -218,9 +219,9 @@ def render_templates(
     tokens travel through the lookup joins, the texts meet their values once at the end.
     Values are put in place in one pass, so a value that looks like a placeholder stays.
     """
-    found = resolve_placeholders(
-        extract_placeholders(templates, doc, skip_host), tasks, dependencies, jobs, names
-    )
+    # Three lookups read the tokens: they are extracted once.
+    tokens_of = stage(extract_placeholders(templates, doc, skip_host), "placeholders")
+    found = resolve_placeholders(tokens_of, tasks, dependencies, jobs, names)
     per_doc = found.groupBy(*doc).agg(
         F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("__values"),
         F.max(F.col("value").isNull()).alias("__failed"),

@@ -81,7 +81,7 @@ def effective_config(
     merged, _ = merged_leaves(layer_docs)
     leaves = stage(merged, "merged")
     tasks, _ = task_rows(leaves)
-    files = job_files(leaves)
+    files = stage(job_files(leaves), "files")
     fleet = tasks.withColumnRenamed("doc", "cluster")
     rendered = files.join(tasks.select("doc", "job", "task_id"), ["doc", "job"]).withColumn(
         "cluster", F.col("doc")

@@ -347,7 +347,8 @@ def order_templates(spark: SparkSession, sf: str) -> DataFrame:
         .when(c == "4-NOT SPECIFIED", "%{dependencies.0.R.2.base_port+1}/%{dependencies.0.R.2.host}%{dependencies.1.cluster-name}")
         .otherwise("x=%{N.x.host}:%{N.x.base_port+3}${keep}")
     )
-    return table(spark, sf, "orders").select(
+    orders = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    return orders.select(
         F.col("o_orderkey").alias("doc"), _text("o", F.col("o_orderkey")).alias("cluster"),
         (F.col("o_custkey") % 7 + 1).cast("bigint").alias("task_id"), text.alias("text"),
     )
