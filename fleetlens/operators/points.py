@@ -261,7 +261,8 @@ def gc_members(parsed: DataFrame) -> DataFrame:
         F.array(*[F.lit(c) for c in src.GC_COLUMNS]).alias("name"), F.col("gc").alias("value")
     )
     keep = [c for c in parsed.columns if c != "gc"]
-    rows = parsed.filter(F.col("gc").isNotNull()).select(*keep, F.explode(cells).alias("cell"))
+    # The outer form keeps the optimiser from testing, and so computing, the array beforehand.
+    rows = parsed.select(*keep, F.explode_outer(cells).alias("cell")).filter(F.col("cell").isNotNull())
     return rows.select(*keep, F.col("cell.name").alias("name"), F.col("cell.value").alias("value"))
 
 
