@@ -226,7 +226,8 @@ def _cell_points(nodes: DataFrame, *cells: Column) -> DataFrame:
     (NULL array) adds nothing."""
     empty = F.array().cast("array<struct<metric:string,value:double,tags:map<string,string>>>")
     together = F.concat(*[F.coalesce(c, empty) for c in cells])
-    exploded = nodes.select("ts", F.explode(together).alias("cell"))
+    # Outer, so that the optimiser does not build the cells a second time for an emptiness test.
+    exploded = nodes.select("ts", F.explode_outer(together).alias("cell"))
     return make_points(exploded, F.col("cell.metric"), F.col("ts"), F.col("cell.value"), F.col("cell.tags"))
 
 

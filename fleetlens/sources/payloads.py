@@ -70,9 +70,9 @@ def parse_jmx(payloads: DataFrame, value: str = "value") -> DataFrame:
 
 def explode_beans(parsed: DataFrame) -> DataFrame:
     """S1, step 2: one row per bean with its name and key -> raw value map."""
-    return parsed.select(
-        *_without(parsed, "beans"), F.posexplode("beans").alias("bean_pos", "props")
-    ).withColumn("bean_name", F.try_element_at("props", F.lit("name")))
+    # Outer, so that the optimiser does not parse the payload a second time for an emptiness test.
+    beans = parsed.select(*_without(parsed, "beans"), F.posexplode_outer("beans").alias("bean_pos", "props"))
+    return beans.filter(F.col("bean_pos").isNotNull()).withColumn("bean_name", F.try_element_at("props", F.lit("name")))
 
 
 def bean_entries(beans: DataFrame) -> DataFrame:
