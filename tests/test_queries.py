@@ -7,6 +7,10 @@ import os
 import pytest
 
 import __spark_entry__ as entry_points
+from fleetlens.workload import all_queries
+from fleetlens.workload.registry import ORACLES, QUERIES
+
+all_queries.load()
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -32,15 +36,16 @@ def cells(row):
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.oracle_sql()) == set(entry_points.queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_points.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = entry_points.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(cells(r) for r in df.select(*columns).collect())
-    result = duck.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({entry_points.oracle_sql()[name]})")
+    result = duck.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({ORACLES[name]})")
     assert got == sorted(cells(r) for r in result.fetchall())
 
 
