@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import bpe, chat_format, token_histogram
-from fleetlens.llm.common import read_table, stage
+from fleetlens.llm import bpe, chat_format, lang_id, rule_lists, token_histogram, zstd_quality
+from fleetlens.llm.common import read_table, remainder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +24,15 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op3_zstd_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, learned from the labelled rows that aren't held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where(remainder("doc_id", 3) != 1)
+    scored = zstd_quality.score(docs, zstd_quality.fit(docs, labels)).drop("text")
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op5_chat_format")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that holds control strings, formatted and read back."""
@@ -44,6 +53,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from the rows that aren't held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = lang_id.fit(docs.where(remainder("doc_id", 3) != 1))
+    found = lang_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 @query("op8_token_counts")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every occurring length as the context limit: documents, tokens and tokens kept."""
@@ -51,6 +69,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_histogram.limit_report(stage(histogram, "lengths"))
 
 
+@query("op9_rule_lists")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every whole text, and the verdict of the list learned from two thirds of the labels."""
+    counted = stage(rule_lists.statistics(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "rules")
+    labels = read_table(spark, sf_dir, "labels").where(remainder("doc_id", 3) != 1).select("doc_id", "quality")
+    rules = rule_lists.learn(stage(counted.join(labels, "doc_id"), "labelled"))
+    return counted.select(
+        "doc_id", *rule_lists.BASE, "base_failed", (~F.col("base_failed") & (rule_lists.verdict(rules) == 0)).alias("kept"))
+
+
 @query("op10_bpe_round_trip")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded again."""
