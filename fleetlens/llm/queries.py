@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import bpe, chat_format, lang_id, near_dedup, rule_lists, token_histogram, zstd_quality
+from fleetlens.llm import bpe, chat_format, gru_lm, lang_id, near_dedup, rule_lists, token_histogram, zstd_quality
 from fleetlens.llm.common import read_table, remainder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,13 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op2_gru_lm")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every whole text, learned from nine tenths of the rows."""
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 10) == 0)
+    return gru_lm.scores(docs)
+
+
 @query("op3_zstd_quality")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole text, learned from the labelled rows that aren't held out."""
