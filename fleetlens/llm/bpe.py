@@ -32,7 +32,7 @@ PIECES = regex.compile(
     r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"
 )
 NO_RANK = np.int32(1 << 30)
-REMEMBERED = 1_000_000  # pieces a worker remembers, a bound on memory alone
+REMEMBERED = 300_000  # pieces a worker remembers, a bound on memory alone
 TEXT_AT_ONCE = 1 << 20  # characters of texts whose new pieces are merged together
 
 
