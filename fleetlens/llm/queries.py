@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import bpe, chat_format, gru_lm, lang_id, near_dedup, rule_lists, token_histogram, zstd_quality
+from fleetlens.llm import bpe, chat_format, decontam, gru_lm, html_extract, lang_id, near_dedup, rule_lists, token_histogram, zstd_quality
 from fleetlens.llm.common import read_table, remainder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,12 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_html_extract")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 @query("op2_gru_lm")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every whole text, learned from nine tenths of the rows."""
@@ -40,6 +46,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op4_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that occur in documents, substitutions allowed."""
+    return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @query("op5_chat_format")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that holds control strings, formatted and read back."""
