@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 SPACE = " \t\n\x0b\x0c\r"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
+ROWS_AT_ONCE = 1024
+
 _own_roots: dict[str, str] = {}
 
 
@@ -50,16 +52,17 @@ def remainder(column: str, divisor: int) -> Column:
 
 
 def with_columns(df: DataFrame, added: T.StructType, fn: Callable[[pa.RecordBatch], list]) -> DataFrame:
-    """Append columns computed batch by batch. A column that has an added one's name is replaced."""
+    """Append columns computed from ROWS_AT_ONCE rows at a time. A column that has an added one's name is replaced."""
     names = {f.name.lower() for f in added.fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in names]
     schema = T.StructType(kept + added.fields)
     keep = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = [x if isinstance(x, pa.Array) else pa.array(x) for x in fn(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + new, names=[f.name for f in schema.fields])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + fn(batch), names=[f.name for f in schema.fields])
 
     return df.mapInArrow(run, schema)
 

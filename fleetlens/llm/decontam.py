@@ -23,9 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from fleetlens.llm.common import WordHashes, mix64, stage, words_of
+from fleetlens.llm.common import WordHashes, mix64, stage, unique_name, with_columns, words_of
 
 # Seven words count in every mask.
 MASKS = ["1111111", "110110111", "11101001101", "10110011011"]
@@ -106,13 +107,39 @@ class Index:
         return found
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
-    """(doc_id, item_id, start_word, n_aligned, n_equal): one row for each document and item that leaks into it."""
+def prepared(docs: DataFrame, benchmark: DataFrame, text: str, key: str, item: str) -> tuple[DataFrame, DataFrame, bool]:
+    """Both tables with common names, and whether the benchmark is small enough to be sent."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     items = benchmark.select(F.col(item).alias("item_id"), F.col(text).cast("binary").alias("text")).where("text IS NOT NULL")
     # Words are counted in whole before anything is sent.
     size = items.agg(F.sum(F.size(F.split(F.col("text").cast("string"), r"\s+")))).first()[0] or 0
-    return by_sending(rows, items) if size <= SENT_WORDS else by_joining(rows, items)
+    return rows, items, size <= SENT_WORDS
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
+    """(doc_id, item_id, start_word, n_aligned, n_equal): one row for each document and item that leaks into it."""
+    rows, items, small = prepared(docs, benchmark, text, key, item)
+    return by_sending(rows, items) if small else by_joining(rows, items)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
+    """The rows of ``docs`` into which no benchmark item leaks, with all their columns."""
+    name = unique_name(docs, "leaked")
+    rows, items, small = prepared(docs, benchmark, text, key, item)
+    if not small:
+        numbered = stage(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+        found = by_joining(numbered.select(F.col(name).alias("doc_id"), F.col(text).cast("binary").alias("text")), items)
+        return numbered.join(found.select(F.col("doc_id").alias(name)).distinct(), name, "left_anti").drop(name).select(docs.columns)
+    sent, made = send(items), []
+    at = docs.columns.index(text)
+
+    def run(batch: pa.RecordBatch) -> list:
+        if not made:
+            made.append(Index([hashed(t) for t in sent.value[1]]))
+        return [pa.array([bool(made[0].leaks(hashed(x and x.encode()))) for x in batch.column(at).to_pylist()], pa.bool_())]
+
+    marked = with_columns(docs, T.StructType([T.StructField(name, T.BooleanType())]), run)
+    return marked.where(~F.col(name)).drop(name)
 
 
 def schema_of(rows: DataFrame, items: DataFrame) -> str:
@@ -120,9 +147,14 @@ def schema_of(rows: DataFrame, items: DataFrame) -> str:
             " start_word long, n_aligned long, n_equal long")
 
 
-def by_sending(rows: DataFrame, items: DataFrame) -> DataFrame:
+def send(items: DataFrame) -> Broadcast:
+    """Ids and texts of at most SENT_WORDS words, for the tasks."""
     known = sorted(((r.item_id, bytes(r.text)) for r in items.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    sent = rows.sparkSession.sparkContext.broadcast(([i for i, _ in known], [t for _, t in known]))  # SENT_WORDS at most
+    return items.sparkSession.sparkContext.broadcast(([i for i, _ in known], [t for _, t in known]))
+
+
+def by_sending(rows: DataFrame, items: DataFrame) -> DataFrame:
+    sent = send(items)
     made: list = []
     item_type = items.schema["item_id"].dataType.simpleString()
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlens.llm.common import WordHashes, mix64, stage, window_hashes, words_of
+from fleetlens.llm.common import WordHashes, mix64, stage, unique_name, window_hashes, words_of
 
 WIDTH = 5
 PERCENT = 75
@@ -242,6 +242,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, of each group of near-duplicates only the one of the smallest id.
+
+    Rows of one id are told apart by a hash of all columns (rows that are equal throughout are one),
+    and a null id counts as greater than all others.
+    """
+    name = unique_name(docs, "row_key")
+    own = F.struct(F.col(key).isNull().alias("absent"), F.col(key).alias("id"), F.xxhash64(*[F.col(c) for c in docs.columns]).alias("row"))
+    rows = docs.withColumn(name, own)
+    kept = near_duplicates(rows, text, name).where("kept").select(F.col("doc_id").alias("kept_key")).distinct()
+    # Both steps deal rows by the whole key: the duplicates of a row are dropped without another shuffle.
+    kept = stage(kept, "kept")
+    return rows.join(kept, F.equal_null(rows[name], kept["kept_key"]), "left_semi").dropDuplicates([name]).drop(name)
+
+
 def set_table(docs: DataFrame, sources: DataFrame, text: str, key: str) -> DataFrame:
     """(node, set): the full sets of the given classes, made again from one text of each."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"))

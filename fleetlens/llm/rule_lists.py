@@ -48,6 +48,7 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the counts of BASE and EXTRA and ``base_failed``."""
     words, windows, lines, raw, placed = (
         unique_name(df, f"{x}_of_text") for x in ("words", "windows", "lines", "raw", "placed"))
+    columns = df.columns
     df = df.withColumn(raw, F.coalesce(F.col(text), F.lit("")))
     trimmed = F.btrim(F.col(raw), F.lit(SPACE))
     df = df.withColumns({
@@ -62,7 +63,7 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     # A column of its own: an expression inside a lambda would be computed anew for every element.
     df = df.withColumn(placed, F.when(
         F.size(F.array_distinct(g)) < F.size(g), F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    df = df.withColumns({
+    found = {
         "n_words": F.size(w).cast("long"),
         "word_chars": F.char_length(F.array_join(w, "")).cast("long"),
         "n_symbols": F.regexp_count(F.col(raw), F.lit(r"[#*$%&|<>]")).cast("long"),
@@ -71,7 +72,11 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
         "n_upper_words": F.size(F.filter(w, lambda x: (x == F.upper(x)) & (x != F.lower(x)))).cast("long"),
         "n_distinct_words": F.size(F.array_distinct(w)).cast("long"),
         "n_lines": F.size(lines).cast("long"),
-    }).drop(words, windows, lines, raw, placed)
+    }
+    # One row stays one row; the generator keeps a later filter on the counts from being pushed
+    # below, where their expressions would be nested into each other and computed many times.
+    kept = [c for c in columns if c not in found and c != "base_failed"]
+    df = df.select(*kept, F.explode(F.array(F.struct(*[c.alias(n) for n, c in found.items()]))).alias(placed)).select(*kept, f"{placed}.*")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return df.withColumn("base_failed", failed)
 
