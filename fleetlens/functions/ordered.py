@@ -48,7 +48,3 @@ def by_position(df: DataFrame, keys, position: Column, value: Column, separator:
     """``ordered_concat`` by an integer position."""
     return ordered_concat(df, keys, position, F.floor(position / F.lit(CHUNK)), value, separator, out)
 
-
-def by_text(df: DataFrame, keys, text: Column, value: Column, separator: str, out: str) -> DataFrame:
-    """``ordered_concat`` by a text, in binary order."""
-    return ordered_concat(df, keys, text, F.substring(text, 1, KEY_PREFIX), value, separator, out)

@@ -68,10 +68,10 @@ def parse_task_label(label: Column) -> Column:
     parts = F.split(label, "/")
     first, second, third = (F.get(parts, i) for i in range(3))
     error = (
-        F.when(F.size(parts) != 3, F.concat(F.lit("Splits should be 3, lable:"), label))
-        .when(~first.startswith("cluster="), F.concat(F.lit("cluster not found, label:"), label))
-        .when(~second.startswith("job="), F.concat(F.lit("job not found, label:"), label))
-        .when(~third.startswith("task_id="), F.concat(F.lit("task_id not found, label:"), label))
+        F.when(F.size(parts) != 3, F.concat(F.lit("not three parts: "), label))
+        .when(~first.startswith("cluster="), F.concat(F.lit("no cluster part: "), label))
+        .when(~second.startswith("job="), F.concat(F.lit("no job part: "), label))
+        .when(~third.startswith("task_id="), F.concat(F.lit("no task_id part: "), label))
     )
     ok = error.isNull()
     task = F.coalesce(strict_int(F.regexp_replace(third, "^task_id=", "")), F.lit(0))
@@ -171,6 +171,7 @@ def parse_ssh_endpoint(text: Column) -> Column:
     )
 
 
+# Fixed value: how a removed job folder is named.
 TRASH_PATTERN = r"\.trash\.([a-zA-Z0-9_\-]+)\.([0-9]+)\.([0-9]+)"
 
 
@@ -181,14 +182,6 @@ def trash_epoch(name: Column) -> Column:
     )
 
 
-def html_id(text: Column) -> Column:
-    return F.translate(text, "./-", "___")
-
-
-def comma_list(text: Column) -> Column:
-    return F.split(F.trim(text), ",")
-
-
 def config_format(file_name: Column) -> Column:
     """``ini``, ``xml``, ``plain`` by the suffix of the base name, NULL for anything else."""
     base = base_name(file_name)

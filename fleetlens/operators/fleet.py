@@ -102,7 +102,8 @@ def sort_hosts(tasks: DataFrame) -> DataFrame:
 
 def sort_host_array(hosts: Column) -> Column:
     """L3 on an ``array<struct<task_id, ...>>`` column."""
-    return F.array_sort(hosts, lambda a, b: (a["task_id"] - b["task_id"]).cast("int"))
+    order = lambda a, b: F.when(a["task_id"] < b["task_id"], -1).when(a["task_id"] > b["task_id"], 1).otherwise(0)
+    return F.array_sort(hosts, order)
 
 
 def task_report(requests: DataFrame, results: DataFrame) -> DataFrame:

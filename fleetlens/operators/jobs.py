@@ -106,7 +106,8 @@ def render_files(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     ini and plain print their lines in order (merged ini in key order); xml collapses its
     pairs and prints them in key order. Texts are not escaped. A NULL line stands for an
-    empty file. A file with a line without ``=`` where a pair is due has NULL text.
+    empty file. A file with a line without ``=`` where a pair is due has NULL text, and so has
+    one whose suffix names no known format (its format is NULL).
     """
     scope = [*keys, "file", "format"]
     line, is_xml = F.col("line"), F.col("format") == "xml"
@@ -144,7 +145,8 @@ def render_files(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.lit("<configuration>\n"), body, F.when(body != "", "\n").otherwise(""), F.lit("</configuration>")
         ),
     ).otherwise(body)
-    return joined.select(*scope, F.when(~F.col("broken"), wrapped).alias("text"))
+    known = F.col("format").isNotNull()
+    return joined.select(*scope, F.when(known & ~F.col("broken"), wrapped).alias("text"))
 
 
 # -- command line ---------------------------------------------------------------------

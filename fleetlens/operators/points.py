@@ -93,10 +93,7 @@ def rule_rejects(beans: DataFrame, service: str, payload_id: Column) -> DataFram
 
 
 # Fixed value: how a region server names its per-region metrics.
-REGION_PATTERN = (
-    r"Namespace_([a-zA-Z0-9_\-\.]+)_table_([a-zA-Z0-9_\-\.]+)"
-    r"_region_([a-z0-9]+)_metric_([a-zA-Z0-9_]+)"
-)
+REGION_PATTERN = r"Namespace_([a-zA-Z0-9_\-\.]+)_table_([a-zA-Z0-9_\-\.]+)_region_([a-z0-9]+)_metric_([a-zA-Z0-9_]+)"
 
 
 def region_values(beans: DataFrame) -> DataFrame:

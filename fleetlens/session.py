@@ -4,27 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Adaptive execution picks partition counts, turns joins into broadcasts only when the
-# measured side is small, and splits skewed join partitions.
-DEFAULTS = {
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # A small payload row still parses into many points: keep small partitions apart.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Streaming state lives off the heap and is checkpointed as changes.
+# What right results need; all else is the caller's choice.
+DEFAULTS = {"spark.sql.session.timeZone": "UTC"}
+
+# Suggestions for whoever builds the session. Plans of many expressions are built several times
+# faster without call-site capture; streaming state lives off the heap and is saved as changes; a
+# small payload row still parses into many points, so small partitions are kept apart.
+STATIC = {
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
 }
 
-# Static settings, for whoever builds the session: plans of many expressions are built
-# several times faster without call-site capture.
-STATIC = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
-
 _local_roots: dict[str, str] = {}
 
 
@@ -52,9 +50,22 @@ def work_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+_run: ContextVar[str] = ContextVar("run", default="")
+
+
+@contextmanager
+def run_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """All folders that are made inside lie below one folder, which the caller may drop afterwards."""
+    token = _run.set(f"{name}-{uuid.uuid4().hex}/")
+    try:
+        yield f"{work_root(spark)}/{_run.get()}".rstrip("/")
+    finally:
+        _run.reset(token)
+
+
 def new_work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder path below the shared root; nothing is ever reused or deleted."""
-    return f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{work_root(spark)}/{_run.get()}{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

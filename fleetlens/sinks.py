@@ -20,16 +20,14 @@ def point_json(points: DataFrame) -> DataFrame:
 def write_points(points: DataFrame, path: str, mode: str = "append") -> None:
     """K1: points as Parquet by metric family and date, the two columns readers filter on.
 
-    Rows of one family and day are spread over tasks by series, so a family that holds most
-    of the points is written by many tasks.
+    Rows are dealt by a range over (family, date, series): a folder gets few files, and a family
+    that holds most of the points is written by many tasks.
     """
     out = points.withColumn("metric_family", pf.metric_family(F.col("metric"))).withColumn(
         "date", F.to_date("ts")
     )
-    if "series_key" in out.columns:
-        out = out.sortWithinPartitions("metric_family", "date", "series_key", "ts")
-    else:
-        out = out.sortWithinPartitions("metric_family", "date")
+    order = ["metric_family", "date", *(["series_key"] if "series_key" in out.columns else []), "ts"]
+    out = out.repartitionByRange(*order).sortWithinPartitions(*order)
     out.write.mode(mode).partitionBy("metric_family", "date").parquet(path)
 
 

@@ -18,9 +18,9 @@ MANIFEST_SCHEMA = (
 )
 
 PROGRAM_STRUCT = (
-    "struct<name:string,job:string,task_id:int,bin:string,args:array<string>,"
+    "struct<name:string,job:string,task_id:bigint,bin:string,args:array<string>,"
     "configs:map<string,string>,pkg_address:string,pkg_name:string,pkg_md5sum:string,"
-    "pid:int,status:string,root_dir:string,hooks:map<string,string>>"
+    "pid:bigint,status:string,root_dir:string,hooks:map<string,string>>"
 )
 INVENTORY_SCHEMA = f"map<string,{PROGRAM_STRUCT}>"
 

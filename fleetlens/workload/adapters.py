@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from fleetlens.functions import text as tf
 from fleetlens.operators import rules as rl
 from fleetlens.operators.points import with_series_key
-from fleetlens.workload.registry import spread, table
+from fleetlens.workload.registry import table
 
 FLAGS = ["A", "N", "R"]
 
@@ -122,9 +122,9 @@ def jmx_hbase(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _order_scrapes(spark: SparkSession, sf: str) -> DataFrame:
-    orders = spread(table(spark, sf, "orders").select(
+    orders = table(spark, sf, "orders").select(
         "o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_totalprice"
-    ))
+    ).repartition("o_orderkey")
     return orders.select(
         _text("hdfs-", F.substring("o_orderpriority", 1, 1)).alias("cluster"),
         "o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority",
@@ -229,7 +229,7 @@ def kv_payloads(spark: SparkSession, sf: str) -> DataFrame:
         _text("zk_big\t99999999999999", F.lpad(c("p_partkey").cast("string"), 10, "0")),
         _text("zk_three\t", c("p_size"), "\t1"), F.lit("no tab here"), F.lit(""),
     )
-    return spread(table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")).select(
+    return table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice").repartition("p_partkey").select(
         c("p_type").alias("cluster"), _text("zk", c("p_partkey")).alias("host"), F.lit(2181).alias("port"),
         F.lit("2024-01-01").cast("timestamp").alias("ts"), value.alias("value"),
     )
@@ -248,7 +248,7 @@ def jstat_payloads(spark: SparkSession, sf: str) -> DataFrame:
         "S0C  S1C  S0U  GCT\n   ", F.concat_ws("  ", *numbers), tail,
         F.when(c("o_orderpriority") == "5-LOW", "").otherwise("\n   "),
     )
-    orders = spread(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice").repartition("o_orderkey")
     return orders.select(c("o_orderkey").alias("payload_id"), value.alias("value"))
 
 
@@ -295,16 +295,16 @@ def latest_orders(spark: SparkSession, sf: str) -> DataFrame:
     ).select(F.col("o_custkey").alias("task_id"), "o.*")
 
 
-def urgent_programs(spark: SparkSession, sf: str) -> DataFrame:
-    """Programs the agents report: the last urgent order of a customer, O running, else stopped."""
-    last = table(spark, sf, "orders").filter(F.col("o_orderpriority") == "1-URGENT").groupBy("o_custkey").agg(
+def programs(spark: SparkSession, sf: str) -> DataFrame:
+    """Programs the agents report: the last order of a customer, O running, else stopped."""
+    last = table(spark, sf, "orders").groupBy("o_custkey").agg(
         F.max(F.struct("o_orderdate", "o_orderkey", "o_orderstatus", "o_totalprice")).alias("o")
     ).select(F.col("o_custkey").alias("task_id"), "o.*")
     tasks = declared_tasks(spark, sf).select("cluster", "job", "task_id")
     return last.join(tasks, "task_id").select(
         "cluster", "job", "task_id",
         F.when(F.col("o_orderstatus") == "O", "Running").otherwise("Stopped").alias("status"),
-        F.col("o_orderkey").cast("int").alias("pid"),
+        F.col("o_orderkey").cast("bigint").alias("pid"),
         F.when(F.col("o_totalprice") > 200000, "/opt/java/bin/java").otherwise("/bin/sh").alias("bin"),
     )
 
@@ -347,7 +347,7 @@ def order_templates(spark: SparkSession, sf: str) -> DataFrame:
         .when(c == "4-NOT SPECIFIED", "%{dependencies.0.R.2.base_port+1}/%{dependencies.0.R.2.host}%{dependencies.1.cluster-name}")
         .otherwise("x=%{N.x.host}:%{N.x.base_port+3}${keep}")
     )
-    orders = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").repartition("o_orderkey")
     return orders.select(
         F.col("o_orderkey").alias("doc"), _text("o", F.col("o_orderkey")).alias("cluster"),
         (F.col("o_custkey") % 7 + 1).cast("bigint").alias("task_id"), text.alias("text"),
@@ -378,7 +378,7 @@ def config_lines(spark: SparkSession, sf: str) -> DataFrame:
 def layer_documents(spark: SparkSession, sf: str) -> DataFrame:
     """A three-layer cluster document per customer: customer over nation over region."""
     customer, nation, region = (table(spark, sf, t) for t in ("customer", "nation", "region"))
-    customer = spread(customer)
+    customer = customer.repartition("c_custkey")
     c = F.col
     quote = lambda col: _text('"', col, '"')
     # A negative balance makes the hosts a string, which conflicts with the list below it.

@@ -23,7 +23,7 @@ LAST = """last AS (SELECT o_custkey AS task_id, arg_max(o_orderstatus, (o_orderd
 arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS ok FROM orders GROUP BY 1)"""
 PROGRAMS = f"""{TASKS}, up AS (SELECT o_custkey AS task_id, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS st,
 arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS ok, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS price
-FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1),
+FROM orders GROUP BY 1),
 programs AS (SELECT cluster, job, up.task_id, CASE WHEN st = 'O' THEN 'Running' ELSE 'Stopped' END AS status, ok AS pid,
 CASE WHEN price > 200000 THEN '/opt/java/bin/java' ELSE '/bin/sh' END AS bin FROM up JOIN tasks ON up.task_id = tasks.task_id)"""
 
@@ -33,7 +33,7 @@ CASE WHEN price > 200000 THEN '/opt/java/bin/java' ELSE '/bin/sh' END AS bin FRO
 @query("inventory_scan", f"""WITH {PROGRAMS} SELECT 'cluster=' || cluster || '/job=' || job || '/task_id=' || task_id AS task_key,
 cluster AS name, job, task_id, bin, '-Xmx1g|' || pid AS args, 'id=' || task_id AS myid, pid, status FROM programs""")
 def inventory_scan(spark, sf):
-    p = ad.urgent_programs(spark, sf)
+    p = ad.programs(spark, sf)
     program = F.struct(
         F.col("cluster").alias("name"), "job", "task_id", "bin",
         F.array(F.lit("-Xmx1g"), F.col("pid").cast("string")).alias("args"),
@@ -60,7 +60,7 @@ def task_status(spark, sf):
     agents = ad.latest_orders(spark, sf).select(
         _text("host", F.col("task_id")).alias("agent"), (F.col("o_orderstatus") != "P").alias("reachable")
     )
-    status = fl.task_status(tasks, ad.urgent_programs(spark, sf), agents)
+    status = fl.task_status(tasks, ad.programs(spark, sf), agents)
     return status.select("cluster", "job", "task_id", "status")
 
 
@@ -80,7 +80,7 @@ WHERE o_custkey IN (SELECT task_id FROM programs WHERE bin LIKE '%java%' AND sta
 def jvm_program_filter(spark, sf):
     tasks = ad.declared_tasks(spark, sf).select("cluster", "job", "task_id")
     gc = table(spark, sf, "orders").withColumnRenamed("o_custkey", "task_id").join(tasks, "task_id")
-    return fl.jvm_programs(ad.urgent_programs(spark, sf), gc).select("o_orderkey", "o_totalprice")
+    return fl.jvm_programs(ad.programs(spark, sf), gc).select("o_orderkey", "o_totalprice")
 
 
 @query("liveness", f"""WITH {PROGRAMS}, seen AS (SELECT o_custkey AS task_id, max(o_orderdate) AS last_seen FROM orders GROUP BY 1)
@@ -91,7 +91,7 @@ def liveness(spark, sf):
     orders = table(spark, sf, "orders")
     beats = orders.select(F.col("o_custkey").alias("task_id"), F.col("o_orderdate").alias("ts")).join(tasks, "task_id")
     as_of = orders.agg(F.max("o_orderdate")).scalar()
-    return fl.liveness(ad.urgent_programs(spark, sf), beats, as_of, 90 * 86400).select("cluster", "job", "task_id", "status")
+    return fl.liveness(ad.programs(spark, sf), beats, as_of, 90 * 86400).select("cluster", "job", "task_id", "status")
 
 
 @query("upsert_latest", """SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER
@@ -105,7 +105,7 @@ def upsert_latest(spark, sf):
 
 @query("inventory_snapshot", f"WITH {PROGRAMS} SELECT cluster, job, task_id, status, pid, bin FROM programs")
 def inventory_snapshot(spark, sf):
-    programs = ad.urgent_programs(spark, sf).withColumn("pid", F.col("pid").cast("bigint"))
+    programs = ad.programs(spark, sf).withColumn("pid", F.col("pid").cast("bigint"))
     path = new_work_dir(spark, "inventory")
     sinks.write_inventory(programs, path)
     return spark.read.schema(programs.schema).parquet(path).select("cluster", "job", "task_id", "status", "pid", "bin")
@@ -124,12 +124,12 @@ def host_distinct(spark, sf):
 
 @query("inventory_count", f"WITH {PROGRAMS} SELECT cluster, status, count(*) AS n FROM programs GROUP BY 1, 2")
 def inventory_count(spark, sf):
-    return fl.inventory_counts(ad.urgent_programs(spark, sf), "cluster", "status")
+    return fl.inventory_counts(ad.programs(spark, sf), "cluster", "status")
 
 
 @query("program_sort", f"WITH {PROGRAMS} SELECT cluster AS name, job, pid, task_id FROM programs ORDER BY 1, 2, 3")
 def program_sort(spark, sf):
-    programs = ad.urgent_programs(spark, sf).select(
+    programs = ad.programs(spark, sf).select(
         F.col("cluster").alias("name"), "job", F.col("pid").cast("bigint").alias("pid"), "task_id"
     )
     return fl.sort_programs(programs)

@@ -509,8 +509,8 @@ _GOOD_LABEL = "b >= 0 AND b <= 7000"
 @query("label_parse", _with(_LABEL) + f"""SELECT custkey, CASE WHEN {_GOOD_LABEL} THEN seg ELSE '' END AS cluster,
 CASE WHEN {_GOOD_LABEL} THEN nation ELSE '' END AS job,
 CASE WHEN b >= 0 AND b <= 6000 THEN custkey ELSE 0 END AS task,
-CASE WHEN b < 0 THEN 'cluster not found, label:' || label WHEN b > 9000 THEN 'Splits should be 3, lable:' || label
-WHEN b > 8000 THEN 'job not found, label:' || label WHEN b > 7000 THEN 'task_id not found, label:' || label END AS error FROM l""")
+CASE WHEN b < 0 THEN 'no cluster part: ' || label WHEN b > 9000 THEN 'not three parts: ' || label
+WHEN b > 8000 THEN 'no job part: ' || label WHEN b > 7000 THEN 'no task_id part: ' || label END AS error FROM l""")
 def label_parse(spark, sf):
     labels = ad.endpoint_labels(spark, sf)
     return labels.select("custkey", tf.parse_task_label(F.col("label")).alias("p")).select("custkey", "p.*")

@@ -36,13 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows that each become a whole payload, spread over the cores when the table has fewer
-    splits than that. A large table has enough splits and is not shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def r6(column: Column | str) -> Column:
     return F.round(column, 6)
 
