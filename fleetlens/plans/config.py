@@ -8,11 +8,12 @@ from fleetlens.functions import text as tf
 from fleetlens.operators import jobs as jb, layers, templates as tp
 from fleetlens.session import stage
 from fleetlens.sources.documents import flatten_documents
+from fleetlens.sources.payloads import clean_lines
 
 
 def merged_leaves(layer_docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc, layer, value JSON) -> (merged leaf rows, rejects)."""
-    return layers.overlay(stage(flatten_documents(layer_docs), "leaves"))
+    return layers.overlay(flatten_documents(layer_docs))
 
 
 def cluster_fields(leaves: DataFrame) -> DataFrame:
@@ -30,7 +31,31 @@ def _job_leaves(leaves: DataFrame) -> DataFrame:
         "doc", tf.pointer_part(F.col("path"), 2).alias("job"),
         tf.pointer_part(F.col("path"), 3).alias("section"),
         tf.pointer_part(F.col("path"), 4).alias("item"),
-        "layer", "kind", "pos", "value",
+        "layer", "kind", "pos", "value", F.col("path").alias("leaf_path"),
+    )
+
+
+def declared_jobs(leaves: DataFrame) -> DataFrame:
+    """(cluster, job) of every job section, with or without hosts."""
+    return _job_leaves(leaves).filter(F.col("job") != "").select(F.col("doc").alias("cluster"), "job").distinct()
+
+
+def effective_rejects(layer_docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """(doc, job, item, reason) of what ``effective_config`` leaves out: documents that don't
+    merge, hosts that don't parse, files that are missing, and files that have no text."""
+    merged, bad = merged_leaves(layer_docs)
+    leaves = stage(merged, "merged")
+    none = F.lit(None).cast("string")
+    _, hosts = task_rows(leaves)
+    references = file_references(leaves)
+    missing = references if texts is None else references.join(texts.select("path").distinct(), "path", "left_anti")
+    files = job_files(leaves, texts).filter(F.col("text").isNull())
+    return (
+        bad.select("doc", none.alias("job"), F.col("path").alias("item"), "reason")
+        .unionByName(hosts.select("doc", "job", F.col("endpoint").alias("item"), "reason"))
+        .unionByName(missing.select("doc", "job", "item", F.concat(F.lit("no such file: "), "path").alias("reason")))
+        .unionByName(files.select("doc", "job", F.col("file").alias("item"), F.when(
+            tf.config_format(F.col("file")).isNull(), "unknown format").otherwise("line without =").alias("reason")))
     )
 
 
@@ -47,17 +72,30 @@ def task_rows(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def config_lines(leaves: DataFrame) -> DataFrame:
+def file_references(leaves: DataFrame) -> DataFrame:
+    """(doc, job, section, item, layer, path) of every ``{file: path}`` that stands for a list."""
+    return _job_leaves(leaves).withColumn("part", tf.pointer_part(F.col("leaf_path"), 5)).filter(
+        (F.col("section") == "config") & (F.col("kind") == "scalar") & (F.col("part") == "file")
+    ).select("doc", "job", "section", "item", "layer", F.col("value").alias("path"))
+
+
+def config_lines(leaves: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """(doc, job, file, layer, pos, line) of every ``config`` entry; an empty file has one row
-    with NULL line."""
-    return _job_leaves(leaves).filter((F.col("section") == "config") & (F.col("kind") == "list")).select(
+    with NULL line. ``texts`` (path, value) holds the files that ``{file: path}`` entries name."""
+    listed = _job_leaves(leaves).filter((F.col("section") == "config") & (F.col("kind") == "list")).select(
         "doc", "job", F.col("item").alias("file"), "layer", "pos", F.col("value").alias("line")
     )
+    if texts is None:
+        return listed
+    lines = clean_lines(texts.select("path", "value")).select("path", "pos", "line")
+    # A file that exists without a line left stands for an empty list.
+    found = file_references(leaves).join(texts.select("path").distinct(), "path").join(lines, "path", "left")
+    return listed.unionByName(found.select("doc", "job", F.col("item").alias("file"), "layer", F.col("pos").cast("bigint").alias("pos"), "line"))
 
 
-def job_files(leaves: DataFrame) -> DataFrame:
+def job_files(leaves: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """The files of each job with those of its parent merged in, rendered: (doc, job, file, text)."""
-    lines = config_lines(leaves).withColumn("pos", F.coalesce("pos", F.lit(0)))
+    lines = config_lines(leaves, texts).withColumn("pos", F.coalesce("pos", F.lit(0)))
     own = lines.select("doc", "job", "file", F.lit(0).alias("side"), "layer", "pos", "line")
     # Read from the leaves, so that a job without files of its own inherits too.
     heirs = _job_leaves(leaves).filter((F.col("section") == "super_job") & (F.col("kind") == "scalar")).select(
@@ -70,18 +108,20 @@ def job_files(leaves: DataFrame) -> DataFrame:
 
 
 def effective_config(
-    layer_docs: DataFrame, dependencies: DataFrame, agent_root: str, skip_host: bool = False
+    layer_docs: DataFrame, dependencies: DataFrame, agent_root: str, skip_host: bool = False,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """(doc, job, task_id, target, ok, text), one row per task and file.
 
     ``layer_docs``: (doc, layer, value); ``dependencies``: (cluster, ordinal, dep_cluster)
-    over document ids. Overlay, inheritance, rendering, placeholders and runtime variables
+    over document ids; ``texts``: (path, value) of the files that ``{file: path}`` entries name.
+    ``effective_rejects`` has what is left out. Overlay, inheritance, rendering, placeholders and runtime variables
     run as joins over all documents at once.
     """
     merged, _ = merged_leaves(layer_docs)
     leaves = stage(merged, "merged")
     tasks, _ = task_rows(leaves)
-    files = stage(job_files(leaves), "files")
+    files = stage(job_files(leaves, texts), "files")
     fleet = tasks.withColumnRenamed("doc", "cluster")
     rendered = files.join(tasks.select("doc", "job", "task_id"), ["doc", "job"]).withColumn(
         "cluster", F.col("doc")
@@ -89,7 +129,7 @@ def effective_config(
     names = cluster_fields(leaves).select("doc", "cluster_name")
     filled = tp.render_templates(
         rendered, ["doc", "job", "file", "task_id"], fleet, dependencies,
-        names=names.withColumnRenamed("doc", "cluster"), skip_host=skip_host,
+        jobs=declared_jobs(leaves), names=names.withColumnRenamed("doc", "cluster"), skip_host=skip_host,
     )
     root = F.lit(agent_root)
 
@@ -98,5 +138,5 @@ def effective_config(
 
     return filled.join(names, "doc", "left").select(
         "doc", "cluster_name", "job", "task_id", runtime(F.col("file")).alias("file"),
-        "ok", runtime(F.col("text")).alias("text"),
+        (F.col("ok") & F.col("text").isNotNull()).alias("ok"), runtime(F.col("text")).alias("text"),
     )

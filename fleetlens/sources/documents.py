@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetlens.functions.text import json_pointer
+from fleetlens.session import stage
 
 MANIFEST_SCHEMA = (
     "map<string,struct<version:string,date:string,md5sum:string,size:bigint,link:string>>"
@@ -133,27 +134,43 @@ def read_dashboards(spark: SparkSession, path: str) -> DataFrame:
 LEAF = "struct<path:string,kind:string,pos:bigint,value:string>"
 
 
-def flatten_documents(docs: DataFrame, value: str = "value", depth: int = 6) -> DataFrame:
+LEVELS = 6  # levels opened in one row stream; deeper trees take another round
+
+
+def flatten_documents(docs: DataFrame, value: str = "value") -> DataFrame:
     """JSON documents to rows (path, kind, pos, value).
 
     ``kind`` is map (one row for each interior map), list (one row for each element, or one
-    with NULL pos when empty), scalar or null. Paths are JSON pointers. Each level is an
-    explode of the level above in the same row stream, so a document is parsed once and
-    nothing is shuffled. A list element that is neither a string nor an integer, and a tree
-    deeper than ``depth``, gives a row of kind ``error``.
+    with NULL pos when empty), scalar or null. Paths are JSON pointers. A list element that is
+    neither a string nor an integer, and a text that is no JSON, give a row of kind ``error``.
+
+    Each level is an explode of the level above in the same row stream, so nothing is shuffled.
+    After LEVELS levels the rows are written out, and the subtrees that are still closed are
+    opened by another round, however deep a tree is.
     """
     keep = _keep(docs, value)
+    closed = docs.select(*keep, F.lit("").alias("path"), F.try_parse_json(value).alias("v"))
+    done = None
+    while True:
+        rows = stage(_open_levels(closed, keep), "levels")
+        leaves = rows.filter(F.col("rest").isNull()).select(*keep, "leaf.path", "leaf.kind", "leaf.pos", "leaf.value")
+        done = leaves if done is None else done.unionByName(leaves)
+        deeper = rows.filter(F.col("rest").isNotNull())
+        if deeper.isEmpty():
+            return done
+        closed = deeper.select(*keep, "path", F.parse_json("rest").alias("v"))
+
+
+def _open_levels(closed: DataFrame, keep: list[Column]) -> DataFrame:
+    """(keep..., path, leaf, rest): finished rows in ``leaf``, or the JSON text of a closed subtree."""
     # The kind of a variant is the leading word of its schema.
     def kind_of(v: Column) -> Column:
         return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
-    stage = docs.select(
-        *keep, F.lit("").alias("path"), F.try_parse_json(value).alias("v"),
-        F.lit(None).cast(LEAF).alias("leaf"),
-    )
-    for level in range(depth + 1):
+    rows = closed.select(*keep, "path", "v", F.lit(None).cast(LEAF).alias("leaf"))
+    for _ in range(LEVELS):
         is_open = F.col("leaf").isNull()
-        stage = stage.withColumn("k", F.when(is_open, kind_of(F.col("v"))))
+        rows = rows.withColumn("k", F.when(is_open, kind_of(F.col("v"))))
         members = F.transform(
             F.map_entries(F.col("v").cast("map<string,variant>")),
             lambda e: F.struct(
@@ -185,9 +202,7 @@ def flatten_documents(docs: DataFrame, value: str = "value", depth: int = 6) ->
             F.when(~is_open, F.array(F.struct(F.col("path"), F.col("v"), F.col("leaf"))))
             .when(
                 F.col("k") == "OBJECT",
-                F.concat(F.array(leaf(F.lit("map"), none_pos, none_text)), members)
-                if level < depth
-                else F.array(leaf(F.lit("error"), none_pos, F.lit("too deep"))),
+                F.concat(F.array(leaf(F.lit("map"), none_pos, none_text)), members),
             )
             .when(
                 F.col("k") == "ARRAY",
@@ -200,7 +215,5 @@ def flatten_documents(docs: DataFrame, value: str = "value", depth: int = 6) ->
             .when(F.col("k") == "VOID", F.array(leaf(F.lit("null"), none_pos, none_text)))
             .otherwise(F.array(leaf(F.lit("scalar"), none_pos, F.col("v").cast("string"))))
         )
-        stage = stage.select(*keep, F.explode(opened).alias("n")).select(
-            *keep, "n.path", "n.v", "n.leaf"
-        )
-    return stage.select(*keep, "leaf.path", "leaf.kind", "leaf.pos", "leaf.value")
+        rows = rows.select(*keep, F.explode(opened).alias("n")).select(*keep, "n.path", "n.v", "n.leaf")
+    return rows.select(*keep, "path", "leaf", F.when(F.col("leaf").isNull(), F.to_json("v")).alias("rest"))

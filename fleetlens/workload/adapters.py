@@ -375,6 +375,24 @@ def config_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def file_documents(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A cluster document per customer with a file list, an idle job and a deep tree, and the files
+    (one per nation but the seventh). A balance above 9000 breaks the host, one above 8000 adds a
+    file of an unknown format."""
+    customer, nation = table(spark, sf, "customer").repartition("c_custkey"), table(spark, sf, "nation")
+    b = F.col("c_acctbal")
+    deep = "".join(f'{{"l{i}":' for i in range(9)) + '["end"]' + "}" * 9
+    value = _text(
+        '{"cluster":{"cluster_name":"', F.col("c_name"), '"},"notes":', deep, ',"jobs":{"idle":{"config":{}},"web":{"hosts":["',
+        F.when(b > 9000, "nohost").otherwise(_text("h", F.col("c_custkey"), ":9001")), '"],"config":{"app.cfg":["peers=[%{idle.server_list}]"],',
+        F.when(b > 8000, '"app.yaml":["x"],').otherwise(""), '"log.properties":{"file":"/etc/log-', F.col("c_nationkey"), '"}}}}}',
+    )
+    docs = customer.select(F.col("c_custkey").alias("doc"), F.lit(0).alias("layer"), value.alias("value"))
+    texts = nation.filter("n_nationkey != 7").select(
+        _text("/etc/log-", F.col("n_nationkey")).alias("path"), _text("# log\n level=", F.col("n_name"), " \n\nsize=1").alias("value"))
+    return docs, texts
+
+
 def layer_documents(spark: SparkSession, sf: str) -> DataFrame:
     """A three-layer cluster document per customer: customer over nation over region."""
     customer, nation, region = (table(spark, sf, t) for t in ("customer", "nation", "region"))

@@ -437,6 +437,24 @@ def config_export(spark, sf):
     return spark.read.schema(files.schema).parquet(path)
 
 
+@query("effective_files", """WITH d AS (SELECT c_custkey AS doc, c_acctbal AS b, c_nationkey AS n, n_name FROM customer
+JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal <= 9000)
+SELECT doc, 'app.cfg' AS file, true AS ok, 'peers=[]' AS text FROM d
+UNION ALL SELECT doc, 'app.yaml', false, NULL FROM d WHERE b > 8000
+UNION ALL SELECT doc, 'log.properties', true, 'level=' || n_name || chr(10) || 'size=1' FROM d WHERE n <> 7""")
+def effective_files(spark, sf):
+    layers, texts = ad.file_documents(spark, sf)
+    none = spark.createDataFrame([], "cluster bigint, ordinal bigint, dep_cluster bigint")
+    return plan.effective_config(layers, none, "/agent", texts=texts).select("doc", "file", "ok", "text")
+
+
+@query("effective_rejects", """SELECT c_custkey AS doc, 'web' AS job, 'nohost' AS item, 'bad address' AS reason FROM customer WHERE c_acctbal > 9000
+UNION ALL SELECT c_custkey, 'web', 'app.yaml', 'unknown format' FROM customer WHERE c_acctbal > 8000
+UNION ALL SELECT c_custkey, 'web', 'log.properties', 'no such file: /etc/log-7' FROM customer WHERE c_nationkey = 7""")
+def effective_rejects(spark, sf):
+    return plan.effective_rejects(*ad.file_documents(spark, sf))
+
+
 @query("config_corpus_scan", """SELECT 'n' || s_nationkey AS project, s_name AS cluster_name, 's' || s_suppkey AS job,
 'h' || s_suppkey || ':9001/id=0' AS first_host, true AS parsed, count(*) AS documents FROM supplier WHERE s_acctbal >= 0 GROUP BY 1, 2, 3, 4
 UNION ALL SELECT 'n' || s_nationkey AS project, NULL, NULL, NULL, false AS parsed, count(*) AS documents FROM supplier WHERE s_acctbal < 0 GROUP BY 1""")

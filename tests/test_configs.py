@@ -43,8 +43,15 @@ def test_flatten_kinds_and_escapes(spark, rows):
     ], key=lambda t: tuple((v is None, str(v)) for v in t))
 
 
-@pytest.mark.parametrize("value", ["{", json.dumps({"l": [{"x": 1}]}), json.dumps({"l": [1.5]}),
-                                   json.dumps({"a": {"b": {"c": {"d": {"e": {"f": {"g": 1}}}}}}})])
+def test_flatten_opens_a_tree_to_its_end(spark, rows):
+    value, path = [7, "x"], ""
+    for i in range(20):
+        value, path = {f"k{i}": value}, f"/k{i}{path}"
+    got = rows(docs.flatten_documents(layered(spark, value)).filter("kind != 'map'"), "path", "kind", "pos", "value")
+    assert got == [(path, "list", 0, "7"), (path, "list", 1, "x")]
+
+
+@pytest.mark.parametrize("value", ["{", json.dumps({"l": [{"x": 1}]}), json.dumps({"l": [1.5]})])
 def test_flatten_errors(spark, value):
     df = spark.createDataFrame([("d", 0, value)], "doc string, layer int, value string")
     assert docs.flatten_documents(df).filter("kind = 'error'").count() == 1
@@ -298,6 +305,24 @@ def test_effective_config(spark):
     assert kept["text"] == "d=z:2181\nn=c1\np=%{web.x.base_port+1}"
 
 
+def test_effective_files_and_rejects(spark):
+    doc = {"cluster": {"cluster_name": "c"}, "jobs": {"idle": {"config": {}}, "web": {
+        "hosts": ["h:9001/id=3000000000", "nohost"],
+        "config": {"log.properties": {"file": "/etc/log"}, "gone.cfg": {"file": "/etc/gone"}, "empty.cfg": {"file": "/etc/empty"},
+                   "a.cfg": ["peers=[%{idle.server_list}]"], "app.yaml": ["x"]}}},
+        "notes": {"a": {"b": {"c": {"d": {"e": {"f": {"g": {"h": ["deep"]}}}}}}}}}
+    texts = spark.createDataFrame([("/etc/log", "# no\n level=info \n\nsize=1"), ("/etc/empty", "# no")], "path string, value string")
+    layers = layered(spark, doc, doc="A")
+    deps = spark.createDataFrame([], "cluster string, ordinal bigint, dep_cluster string")
+    got = {r["file"]: (r["task_id"], r["ok"], r["text"]) for r in plan.effective_config(layers, deps, "/ag", texts=texts).collect()}
+    assert got == {
+        "log.properties": (3000000000, True, "level=info\nsize=1"), "a.cfg": (3000000000, True, "peers=[]"),
+        "empty.cfg": (3000000000, True, ""), "app.yaml": (3000000000, False, None),
+    }
+    rejects = {(r["job"], r["item"], r["reason"]) for r in plan.effective_rejects(layers, texts).collect()}
+    assert rejects == {("web", "nohost", "bad address"), ("web", "gone.cfg", "no such file: /etc/gone"), ("web", "app.yaml", "unknown format")}
+
+
 def test_yaml(spark, rows):
     df = spark.createDataFrame([("a", "x:\n  - 1\n  - two\n"), ("b", "x: [")], "path string, value string")
     out = docs.yaml_to_json(df)
