@@ -13,10 +13,11 @@ components of the links.
 3. Each class that shares a key is compared with the smallest class of that key only, on the
    signature and then on the full sets, and first components are formed. This unites a group of
    any size with as many pairs as it has members.
-4. For keys that still span several components, all pairs across components are compared by
-   signature inside tasks, key by key and in blocks of BLOCK classes; those within the distance are
-   then compared on the full sets. No link between different texts is lost, and none is needed
-   inside a component.
+4. Keys that still span several components connect the classes within the signature distance to
+   neighbourhoods (again with as many rows as members). Each neighbourhood of several components
+   gets its full sets together, in blocks of BLOCK classes, and every pair across components is
+   compared on them. No link between different texts is lost, and no pair is written out that
+   doesn't unite two components.
 
 The full sets are only made for classes that share a key. Everything is written to the shared
 folder between the steps; nothing but row counts comes to the driver.
@@ -154,57 +155,105 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     return after.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
 
 
-def across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components, within the signature distance, that share a key.
+def dealt(members: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """Members by group, a large group cut into blocks by node and dealt out as pairs of its blocks.
 
-    ``members`` has (key, node, component, sig). A key with many members is cut into blocks by node,
-    and every pair of its blocks is a group of its own.
+    Rows come sorted by (group, x, y); every two members of a group meet in some (x, y).
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    cut = members.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "key")
-    own = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    # Group (x, y) with x <= y gets the members of block x and of block y.
-    placed = own.select("node", "component", "sig", "own", "key", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other")).select(
-        "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "component", "sig")
-    group = ["key", "x", "y"]
-    dealt = placed.repartition(*group).sortWithinPartitions(*group)
-
-    def compare(nodes: list[bytes], parts: list[bytes], sigs: list[bytes], owns: list[int]) -> set[tuple[bytes, bytes]]:
-        sig = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, SYMBOLS)
-        names: dict[bytes, int] = {}
-        component = np.array([names.setdefault(p, len(names)) for p in parts])
-        own = np.array(owns)
-        within = own.min() == own.max()
-        found = set()
-        # Every pair across components has a side outside the largest component.
-        for i in np.flatnonzero(component != np.bincount(component).argmax()).tolist():
-            ok = (sig[i] != sig).sum(1) <= MOST_DIFFERENT
-            ok &= component != component[i]
-            if not within:
-                ok &= own != own[i]
-            found.update((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in np.flatnonzero(ok).tolist())
-        return found
+    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    own = members.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    placed = own.select(group, *columns, "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other")).select(
+        group, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), *columns)
+    return placed.repartition(group, "x", "y").sortWithinPartitions(group, "x", "y")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
+    """The columns after the first ``keys`` of each run of equal keys."""
+    at, held = None, []
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        for row in zip(*columns):
+            if row[:keys] != at:
+                if held:
+                    yield [list(c) for c in zip(*held)]
+                at, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield [list(c) for c in zip(*held)]
+
+
+def pair_rows(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
+
+
+def forest(nodes: list[bytes], sigs: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the pairs within the signature distance."""
+    sig = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, SYMBOLS)
+    left, found = np.arange(len(nodes)), []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            near = (sig[left] != sig[i]).sum(1) <= MOST_DIFFERENT
+            found += [(nodes[i], nodes[j]) for j in left[near].tolist()]
+            queue += left[near].tolist()
+            left = left[~near]
+    return found
+
+
+def neighbourhoods(members: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all classes which lie within the signature distance and share a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, ([], [], [], [])
+        for nodes, sigs in runs(batches, 3):
+            if len(nodes) > 1:
+                yield pair_rows(forest(nodes, sigs))
+
+    return dealt(members, "key", ["node", "sig"]).mapInArrow(run, "a binary, b binary").distinct()
+
+
+def exact_links(nodes: list[bytes], components: list[bytes], raw: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """Links between different components on the full sets, as many as it takes to unite what is linked."""
+    names: dict[bytes, int] = {}
+    component = np.array([names.setdefault(c, len(names)) for c in components])
+    if len(names) < 2:
+        return []
+    sets = [np.frombuffer(r, np.uint64) for r in raw]
+    sizes = np.array([len(x) for x in sets])
+    values, token = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    holders = owner[np.argsort(token, kind="stable")]
+    first = np.r_[0, np.cumsum(np.bincount(token, minlength=len(values)))]
+    start = np.r_[0, np.cumsum(sizes)]
+    found = []
+    # Every pair across components has a side outside the one that is largest at the start.
+    anchor = int(np.flatnonzero(component == np.bincount(component).argmax())[0])
+    for i in np.flatnonzero(component != component[anchor]).tolist():
+        if component[i] == component[anchor]:
+            continue  # united with it meanwhile
+        mine = token[start[i] : start[i + 1]]
+        lengths = first[mine + 1] - first[mine]
+        places = np.repeat(first[mine] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
+        common = np.bincount(holders[places], minlength=len(sets))
+        linked_to = (100 * common >= PERCENT * (sizes + sizes[i] - common)) & (component != component[i])
+        for j in np.flatnonzero(linked_to).tolist():
+            if component[j] != component[i]:
+                found.append((nodes[i], nodes[j]))
+                component[component == component[j]] = component[i]
+    return found
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if len(set(held[1])) > 1:
-                pairs = sorted(compare(*held))
-                if pairs:
-                    yield pa.record_batch([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["a", "b"])
 
-        for batch in batches:
-            rows = batch.to_pydict()
-            for key, x, y, own, *cells in zip(*(rows[c] for c in ("key", "x", "y", "own", "node", "component", "sig"))):
-                if (key, x, y) != at:
-                    yield from flush()
-                    at, held = (key, x, y), ([], [], [], [])
-                for column, cell in zip(held, [*cells, own]):
-                    column.append(cell)
-        yield from flush()
+def across(members: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of a neighbourhood; ``members`` has
+    (neighbourhood, node, component, set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in runs(batches, 3):
+            found = exact_links(*columns)
+            if found:
+                yield pair_rows(found)
 
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return dealt(members, "neighbourhood", ["node", "component", "set"]).mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -230,8 +279,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     known = members.select("key", "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    open_keys = stage(known.join(mixed, "key", "left_semi").join(sig, "node"), "open")
-    more = stage(linked(across(open_keys), sets), "more")
+    open_keys = known.join(mixed, "key", "left_semi").join(sig, "node").select("key", "node", "sig")
+    around = components(stage(neighbourhoods(open_keys), "near"), "around").withColumnRenamed("component", "neighbourhood")
+    within = around.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = within.groupBy("neighbourhood").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("neighbourhood")
+    open_sets = within.join(several, "neighbourhood", "left_semi").join(sets, "node")
+    more = stage(across(open_sets.select("neighbourhood", "node", "component", "set")), "more")
     final = components(links.unionAll(more), "final")
 
     named = classes.join(final, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
