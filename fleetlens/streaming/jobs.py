@@ -35,10 +35,11 @@ def collect_points(payloads: DataFrame, parser: str) -> DataFrame:
     return op.with_series_key(STREAM_NORMALISERS[parser](payloads))
 
 
-def dedupe(points: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """The first row of each series and instant; a row later than the watermark is dropped
-    and shows in ``numRowsDroppedByWatermark``."""
-    return points.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["series_key", "ts"])
+def dedupe(points: DataFrame, order: str = "seq", watermark: str = WATERMARK) -> DataFrame:
+    """The row of the greatest ``order`` of each series and instant, once the watermark has
+    passed it; a row later than the watermark is dropped and shows in ``numRowsDroppedByWatermark``."""
+    return points.withWatermark("ts", watermark).groupBy("series_key", "ts").agg(
+        F.max_by("value", order).alias("value"), F.max(order).alias(order))
 
 
 def downsample(

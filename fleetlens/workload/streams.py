@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators import points as op
 from fleetlens.session import new_work_dir
 from fleetlens.sources import payloads as src
-from fleetlens.streaming import carry, jobs as sj
+from fleetlens.streaming import jobs as sj, keyed
 from fleetlens.workload import adapters as ad, metrics as mq, timeseries as tq
 from fleetlens.workload.registry import epoch, point_report, query, r6
 
@@ -42,11 +42,13 @@ def stream_points(spark, sf):
     return point_report(sj.run_available(sj.collect_points(landing, "node"), "stream-points"))
 
 
-@query("stream_dedupe", """SELECT DISTINCT 'user' || user_id AS series_key,
-CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS ts_s FROM events""")
+@query("stream_dedupe", """SELECT 'user' || user_id AS series_key, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS ts_s,
+round(arg_max(value, event_id), 6) AS value FROM events GROUP BY ALL
+HAVING max(date_trunc('hour', ts)) < (SELECT max(date_trunc('hour', ts)) FROM events) - INTERVAL 10 MINUTE""")
 def stream_dedupe(spark, sf):
     points = _user_stream(spark, sf).withColumn("ts", F.date_trunc("hour", "ts"))
-    return sj.run_available(sj.dedupe(points), "stream-dedupe").select("series_key", epoch("ts").alias("ts_s"))
+    deduped = sj.run_available(sj.dedupe(points), "stream-dedupe")
+    return deduped.select("series_key", epoch("ts").alias("ts_s"), r6("value").alias("value"))
 
 
 @query("stream_downsample", f"""SELECT 'user' || user_id AS series_key, {tq.HOUR} AS bucket_s, round(avg(value), 6) AS value
@@ -72,9 +74,11 @@ def stream_rollup(spark, sf):
     )
 
 
-@query("stream_rate", f"WITH {tq._LAGGED} SELECT series_key, ts_s, round(delta / dt, 6) + 0.0 AS rate FROM d WHERE dt > 0")
+@query("stream_rate", f"WITH {tq._LAGGED} SELECT series_key, ts_s, round(delta / dt, 6) + 0.0 AS rate FROM d WHERE dt > 0 "
+       "AND ts_s - ts_s % 3600 + 3600 <= (SELECT epoch(max(ts)) - 600 FROM events)")
 def stream_rate(spark, sf):
-    rates = carry.stream_rate(_user_stream(spark, sf), "seq")
+    # Rates of closed hours; the hours within the watermark are still open when the input ends.
+    rates = keyed.stream_rate(_user_stream(spark, sf), "seq")
     return rates.select("series_key", epoch("ts").alias("ts_s"), r6("rate").alias("rate"))
 
 
@@ -91,4 +95,4 @@ def stream_status(spark, sf):
         ts.alias("ts"), F.when(F.col("o_orderstatus") == "O", "Running").otherwise("Stopped").alias("status"),
     )
     as_of = F.lit("2001-01-31").cast("timestamp")
-    return carry.stream_status(reports, 30 * 86400, as_of).select("key", "status")
+    return keyed.stream_status(reports, 30 * 86400, as_of).select("key", "status")
