@@ -204,11 +204,14 @@ def kv_text_scan(spark, sf):
     return src.kv_lines(ad.kv_payloads(spark, sf)).select("host", "key", "raw")
 
 
-@query("kv_points", _union([
+_KV = [
     f"SELECT 'zookeeper.zkServer.{key}{{cluster=' || p_type || ',hostAndPort=zk' || p_partkey || '-2181,job=zkServer}}' AS series_key, "
     f"CAST(1704067200 AS BIGINT) AS ts_s, CAST({value} AS DOUBLE) AS value FROM part"
     for key, value in {"zk_size": "p_size", "zk_plus": "p_partkey", "zk_neg": "-p_size"}.items()
-]))
+]
+
+
+@query("kv_points", _union(_KV))
 def kv_points(spark, sf):
     return point_report(plans.kv_points(ad.kv_payloads(spark, sf)))
 
@@ -432,7 +435,7 @@ def jvm_gc_explode(spark, sf):
 
 _ALL = [
     _THREADS, *_WAL, *_SERVER, *_ROLLED, _REGION_POINTS, *_NAMENODE, _hdfs("hdfs.jvm.ThreadCount", "ck", "namenode"),
-    *_SYSTEM, *_NETWORK, *_DISK, *_GC,
+    *_DATANODE, _hdfs("hdfs.jvm.ThreadCount", "ok", "datanode"), *_SYSTEM, *_NETWORK, *_DISK, *_GC, *_KV,
 ]
 
 
@@ -441,7 +444,8 @@ _ALL = [
        + _union(_ALL) + ") GROUP BY 1")
 def all_points(spark, sf):
     points = plans.all_points({
-        "hbase": ad.jmx_hbase(spark, sf), "hdfs": ad.jmx_namenode(spark, sf), "node": ad.node_payloads(spark, sf),
+        "hbase": ad.jmx_hbase(spark, sf), "hdfs": ad.jmx_namenode(spark, sf).unionByName(ad.jmx_datanode(spark, sf)),
+        "node": ad.node_payloads(spark, sf), "mntr": ad.kv_payloads(spark, sf),
     })
     return points.groupBy("metric").agg(
         F.count("*").alias("points"), F.count_distinct("series_key").alias("series"),
