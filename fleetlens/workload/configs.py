@@ -459,23 +459,23 @@ def effective_rejects(spark, sf):
 'h' || s_suppkey || ':9001/id=0' AS first_host, true AS parsed, count(*) AS documents FROM supplier WHERE s_acctbal >= 0 GROUP BY 1, 2, 3, 4
 UNION ALL SELECT 'n' || s_nationkey AS project, NULL, NULL, NULL, false AS parsed, count(*) AS documents FROM supplier WHERE s_acctbal < 0 GROUP BY 1""")
 def config_corpus_scan(spark, sf):
-    # One YAML document per supplier, landed as files one folder below a root. A negative
-    # balance leaves a bracket open.
+    # JSON documents, one to a line, landed in files one folder below a root. A negative balance
+    # leaves a bracket open.
     key = F.col("s_suppkey")
-    yaml_text = _text(
-        "cluster:\n  cluster_name: \"", F.col("s_name"), "\"\njobs:\n  s", key, ":\n    hosts:\n    - h", key, ":9001/id=0\n    - h", key, ":9001/id=1",
-        F.when(F.col("s_acctbal") < 0, "\n    jvm_opts: [").otherwise(""),
+    value = _text(
+        '{"cluster":{"cluster_name":"', F.col("s_name"), '"},"jobs":{"s', key, '":{"hosts":["h', key, ':9001/id=0","h', key, ':9001/id=1"]',
+        F.when(F.col("s_acctbal") < 0, "").otherwise("}}}"),
     )
     root = new_work_dir(spark, "corpus")
-    texts = table(spark, sf, "supplier").select(_text("n", F.col("s_nationkey")).alias("project"), yaml_text.alias("value"))
-    texts.write.option("maxRecordsPerFile", 1).partitionBy("project").text(root)
-    parsed = docs.yaml_to_json(docs.read_corpus(spark, root))
-    v = F.parse_json("value")
-    fields = parsed.select(
+    texts = table(spark, sf, "supplier").select(_text("n", F.col("s_nationkey")).alias("project"), value.alias("value"))
+    texts.repartition("project").write.partitionBy("project").text(root)
+    lines = docs.read_corpus(spark, root).select("project", F.explode(F.split("value", "\n")).alias("value")).filter("value != ''")
+    v = F.try_parse_json("value")
+    job = F.get(F.map_keys(F.try_variant_get(v, "$.jobs", "map<string,variant>")), F.lit(0))
+    hosts = F.map_values(F.try_variant_get(v, "$.jobs", "map<string,struct<hosts:array<string>>>"))
+    fields = lines.select(
         F.split_part("project", F.lit("="), F.lit(2)).alias("project"),
         F.try_variant_get(v, "$.cluster.cluster_name", "string").alias("cluster_name"),
-        F.get(F.map_keys(F.try_variant_get(v, "$.jobs", "map<string,variant>")), F.lit(0)).alias("job"),
-        F.regexp_extract("value", r'"hosts": \["([^"]+)"', 1).alias("first_host"),
-        F.col("error").isNull().alias("parsed"),
-    ).withColumn("first_host", F.when(F.col("parsed"), F.col("first_host")))
+        job.alias("job"), F.get(F.get(hosts, F.lit(0))["hosts"], F.lit(0)).alias("first_host"), v.isNotNull().alias("parsed"),
+    )
     return fields.groupBy(*fields.columns).agg(F.count("*").alias("documents"))
