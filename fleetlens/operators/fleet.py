@@ -3,6 +3,8 @@ W4, F6, F8, F9, L1-L3, P22, R1, R2, R4, X9)."""
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -113,14 +115,17 @@ def task_report(requests: DataFrame, results: DataFrame) -> DataFrame:
     any result reads ``No task found``.
     """
     keys = ["action", "cluster", "job"]
-    joined = requests.select(*keys).join(results.withColumn("__hit", F.lit(True)), keys, "left")
     report = (
-        F.when(F.col("__hit").isNull(), "No task found")
-        .when(F.col("error").isNotNull(), F.concat(F.lit("Failed: "), "error"))
+        F.when(F.col("error").isNotNull(), F.concat(F.lit("Failed: "), "error"))
         .when(F.col("program_status").isNotNull(), F.col("program_status"))
         .otherwise("Success")
     )
-    return joined.select(*keys, "task_id", report.alias("report"))
+    # An inner join, in which a request with very many results can be split, and the requests
+    # that have none.
+    found = results.join(requests.select(*keys), keys).select(*keys, "task_id", report.alias("report"))
+    none = requests.select(*keys).join(results.select(*keys).distinct(), keys, "left_anti")
+    missing = none.select(*keys, F.lit(None).cast(results.schema["task_id"].dataType).alias("task_id"), F.lit("No task found").alias("report"))
+    return found.unionByName(missing)
 
 
 # -- scrape planning ------------------------------------------------------------------
@@ -166,10 +171,15 @@ def scrape_coverage(
     expected = targets.withColumn("slot", F.explode(stops))
     slot = F.lit(start).cast("timestamp")
     inside = payloads.filter((F.col("ts") >= slot) & (F.col("ts") < F.lit(end).cast("timestamp")))
-    # The latest slot start that is not after the payload.
-    counted = inside.withColumn(
-        "slot", F.array_max(F.filter(stops, lambda s: s <= F.col("ts")))
-    ).groupBy(*keys, "slot").agg(F.count("*").alias("payloads"))
+    # The latest slot start that is not after the payload. Slots of a fixed length are computed;
+    # months and years differ in length, but are few.
+    origin = F.unix_micros(slot)
+    length = F.unix_micros(slot + step) - origin
+    latest = (
+        F.array_max(F.filter(stops, lambda s: s <= F.col("ts"))) if re.search("month|year", interval, re.IGNORECASE)
+        else F.timestamp_micros(origin + F.floor((F.unix_micros("ts") - origin) / length) * length)
+    )
+    counted = inside.withColumn("slot", latest).groupBy(*keys, "slot").agg(F.count("*").alias("payloads"))
     return expected.join(counted, [*keys, "slot"], "left").withColumn(
         "payloads", F.coalesce("payloads", F.lit(0)).cast("bigint")
     )

@@ -11,6 +11,8 @@ from fleetlens.functions import points as pf
 # The time ranges a dashboard offers.
 TIME_OPTIONS = ["5m", "15m", "1h", "6h", "12h", "24h", "2d", "7d", "30d"]
 
+SENT_METRICS = 10_000  # rows of the broadcast list of a tag filter
+
 
 def span_seconds(expression: Column) -> Column:
     """Seconds in ``now-5m`` or ``5m`` style texts (s, m, h, d)."""
@@ -32,12 +34,14 @@ def tag_filter(points: DataFrame, targets: DataFrame) -> DataFrame:
 
     Instead of a join on the metric with a tag test on every pair, each point is projected
     on the tag names some target of its metric asks for. That gives the same selector text
-    the target has, so the match is one equi-join. The distinct (metric, tag names) list is
-    far smaller than the target list; Spark broadcasts it only if it measures small.
+    the target has, so the match is one equi-join. The tag-name sets are gathered to one row
+    per metric and counted: up to SENT_METRICS rows they are broadcast, so the points stay where
+    they are; beyond that they are joined by metric.
     """
     wanted = targets.withColumn("selector", pf.series_key(F.col("metric"), F.col("tags")))
-    shapes = targets.select("metric", F.array_sort(F.map_keys("tags")).alias("names")).distinct()
-    shaped = points.join(shapes, "metric").filter(
+    shapes = targets.groupBy("metric").agg(F.collect_set(F.array_sort(F.map_keys("tags"))).alias("shapes"))
+    small = shapes.limit(SENT_METRICS + 1).count() <= SENT_METRICS
+    shaped = points.join(F.broadcast(shapes) if small else shapes, "metric").withColumn("names", F.explode("shapes")).drop("shapes").filter(
         F.forall("names", lambda n: F.map_contains_key(F.col("tags"), n))
     )
     projected = F.transform(

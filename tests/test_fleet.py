@@ -245,3 +245,13 @@ def test_config_paths(spark):
         return spark.range(1).select(sinks.config_path(F.lit("/r"), F.lit("c"), F.lit("j"), F.lit(1), F.lit(file)).alias("p")).head()["p"]
 
     assert path("zoo.cfg") == "/r/c/j.1/conf/zoo.cfg" and path("/tmp/x/myid") == "/tmp/x/myid"
+
+
+def test_coverage_of_fixed_slots(spark, rows):
+    targets = spark.createDataFrame([("a", 1), ("b", 1)], "host string, port long")
+    payloads = spark.createDataFrame([("a", 1, s) for s in (0, 9, 10, 29, 30, 35, 41, -1)], "host string, port long, sec long").select(
+        "host", "port", F.timestamp_seconds(F.col("sec") + 86400).alias("ts"))
+    got = fl.scrape_coverage(targets, payloads, "1970-01-02 00:00:00", "1970-01-02 00:00:40", "10 SECOND")
+    assert rows(got, "host", F.unix_seconds("slot").alias("s"), "payloads") == [
+        ("a", 86400, 2), ("a", 86410, 1), ("a", 86420, 1), ("a", 86430, 2),
+        ("b", 86400, 0), ("b", 86410, 0), ("b", 86420, 0), ("b", 86430, 0)]
