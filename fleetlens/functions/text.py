@@ -18,10 +18,6 @@ def strict_int(text: Column) -> Column:
     return F.when(text.rlike(INT_PATTERN), text.try_cast("bigint"))
 
 
-def number(text: Column) -> Column:
-    return text.try_cast("double")
-
-
 DECIMAL_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
