@@ -48,9 +48,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the BPE ids of every whole text, their number, and whether they decode to the text."""
-    back = bpe.decode(bpe.encode(docs))
-    restored = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return back.withColumns({"n_tokens": (F.octet_length("ids") / 4).cast("long"), "restored": restored}).drop("decoded")
+    return bpe.encode_checked(docs).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
 STAGES = [

@@ -32,7 +32,7 @@ PIECES = regex.compile(
     r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"
 )
 NO_RANK = np.int32(1 << 30)
-REMEMBERED = 300_000  # pieces a worker remembers, a bound on memory alone
+REMEMBERED = 150_000  # pieces a worker remembers, a bound on memory alone
 TEXT_AT_ONCE = 1 << 20  # characters of texts whose new pieces are merged together
 
 
@@ -173,6 +173,20 @@ def encode(df: DataFrame, text: str = "text", into: str = "ids", path: str | Non
     return with_columns(df, T.StructType([T.StructField(into, T.BinaryType())]), run)
 
 
+def encode_checked(df: DataFrame, text: str = "text", into: str = "ids", restored: str = "restored", path: str | None = None) -> DataFrame:
+    """Adds ``into`` as ``encode`` does, and ``restored``: whether the ids decode to the text again."""
+    path = path or default_vocabulary()
+    at = df.columns.index(text)
+
+    def run(batch: pa.RecordBatch) -> list:
+        known, texts = vocabulary(path), batch.column(at).to_pylist()
+        ids = known.encode_many(texts)
+        same = [known.decode(i) == (t or "") for i, t in zip(ids, texts)]
+        return [pa.array(ids, pa.binary()), pa.array(same, pa.bool_())]
+
+    return with_columns(df, T.StructType([T.StructField(into, T.BinaryType()), T.StructField(restored, T.BooleanType())]), run)
+
+
 def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", path: str | None = None) -> DataFrame:
     """Adds ``into``: the text of an id column as ``encode`` writes it."""
     path = path or default_vocabulary()

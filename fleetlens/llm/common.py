@@ -83,7 +83,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 class WordHashes:
     """64-bit hashes of words, remembered up to a bound that only limits memory."""
 
-    def __init__(self, bound: int = 300_000):
+    def __init__(self, bound: int = 100_000):
         self.bound, self.seen = bound, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:

@@ -25,7 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from fleetlens.llm.common import unique_name, with_columns
+from fleetlens.llm.common import with_columns
 
 BLOCK = 512  # bytes compressed at once, so that the dictionary counts along a long text
 FLOOR = 64  # added to the size, so that a few bytes don't make an extreme share
@@ -130,15 +130,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
 
 def score(df: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """Adds ``into``: 0 to 1, higher if the text looks more like the good ones."""
-    name = unique_name(df, "raw_text")
-    wide = df.withColumn(name, F.col(text).cast("binary"))
-    at = len(wide.columns) - 1
+    at = df.columns.index(text)
 
     def run(batch: pa.RecordBatch) -> list:
         x = np.zeros(batch.num_rows)
         if model.good:
             measure = sizer(model.good, model.bad)
-            x = np.array([measure.difference(blocks_of(t)) for t in batch.column(at).to_pylist()], float)
+            x = np.array([measure.difference(blocks_of(t)) for t in batch.column(at).cast(pa.binary()).to_pylist()], float)
         return [pa.array(1 / (1 + np.exp(-np.clip(model.slope * x + model.intercept, -30, 30))), pa.float64())]
 
-    return with_columns(wide, T.StructType([T.StructField(into, T.DoubleType())]), run).drop(name)
+    return with_columns(df, T.StructType([T.StructField(into, T.DoubleType())]), run)
