@@ -7,9 +7,11 @@ components of the links.
 1. Texts with equal sets become one class, known by a 128-bit digest of the set.
 2. A class gets a signature of SYMBOLS minimum hashes of 16 bits. Signatures are split into CHUNKS
    chunks, and for every chunk each way of leaving out ERRORS of its symbols is a key: by pigeonhole
-   any two signatures that differ in at most MOST_DIFFERENT symbols share a key. (A pair at exactly
-   0.75 differs in 10 symbols on average; it is missed only if every chunk has two differing
-   symbols, about once in a million.)
+   any two signatures that differ in at most MOST_DIFFERENT symbols share a key, and most of those
+   that differ in more do too. (A pair at exactly 0.75 differs in 10 symbols on average; it is missed
+   if every chunk has two differing symbols, about 1.5 times in a million.) Pairs that share a key are
+   left out before the full sets only if they differ in more than FARTHEST symbols (a pair at exactly
+   0.75 does so about once in a billion).
 3. Each class that shares a key is compared with the smallest class of that key only, on the
    signature and then on the full sets, and first components are formed. This unites a group of
    any size with as many pairs as it has members.
@@ -46,6 +48,7 @@ SYMBOLS = 40
 CHUNKS = 10
 ERRORS = 1
 MOST_DIFFERENT = CHUNKS * (ERRORS + 1) - 1
+FARTHEST = 28
 BLOCK = 2048
 # One odd multiplier and one offset for each minimum hash, from a fixed seed.
 _DRAWN = np.random.default_rng(20240607).integers(1, 1 << 63, (2, SYMBOLS), dtype=np.uint64)
@@ -194,7 +197,7 @@ def forest(nodes: list[bytes], sigs: list[bytes]) -> list[tuple[bytes, bytes]]:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             i = queue.pop()
-            near = (sig[left] != sig[i]).sum(1) <= MOST_DIFFERENT
+            near = (sig[left] != sig[i]).sum(1) <= FARTHEST
             found += [(nodes[i], nodes[j]) for j in left[near].tolist()]
             queue += left[near].tolist()
             left = left[~near]
@@ -273,7 +276,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     sig = classes.select("node", "sig")
     pairs = members.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     near = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(
-        sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").where(F.expr(f"{different('sig_a', 'sig_b')} <= {MOST_DIFFERENT}"))
+        sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").where(F.expr(f"{different('sig_a', 'sig_b')} <= {FARTHEST}"))
     links = stage(linked(near.select("a", "b"), sets), "links")
     first = components(links, "first")
 

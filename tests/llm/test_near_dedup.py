@@ -106,3 +106,15 @@ def test_pigeonhole_keys_meet(spark):
     assert len(base) == near_dedup.CHUNKS * 4
     for node, _ in rows[1:]:
         assert base & {r.key for r in keys if bytes(r.node) == node}
+
+
+def test_borderline_pair_beyond_the_pigeonhole_is_linked(spark):
+    import numpy as np
+
+    one = [f"s2562w{i}" for i in range(39)]
+    rows = [(0, " ".join(one)), (1, " ".join([*one[:19], "new", *one[20:]]))]  # 30 of 40 shingles: exactly 0.75
+    sigs = [near_dedup.signature(near_dedup.shingles(t.encode())) for _, t in rows]
+    assert sum(a != b for a, b in zip(*(np.frombuffer(s, "<u2") for s in sigs))) == near_dedup.MOST_DIFFERENT + 1
+    assert brute(rows) == {0: 0, 1: 0}
+    assert {r.component_id for r in near_dedup.near_duplicates(docs(spark, rows)).collect()} == {0}
+    assert near_dedup.forest([b"a", b"b"], sigs) == [(b"a", b"b")]
