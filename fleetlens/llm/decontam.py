@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced seeds.
 
-Words (A-Z in lower case) are hashed. A mask such as 110110111 marks which of the next words count:
+Words (A-Z in lower case) are hashed. A mask such as 111101011 marks which of the next words count:
 the hash of those words is a seed, and words under a 0 may differ. Seeds of all benchmark items and
 of all documents are joined; every hit names an item and a diagonal (document place minus item
 place). Around a hit, document and item are compared word by word along the diagonal, without gaps:
@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from fleetlens.llm.common import WordHashes, mix64, stage, unique_name, with_columns, words_of
 
-# Seven words count in every mask.
-MASKS = ["1111111", "110110111", "11101001101", "10110011011"]
+# Seven words count in every mask. Every segment that the comparison accepts has a seed of
+# one of them: they cover all ways to begin such a segment up to its twelfth word or the next equal one.
+MASKS = ["1111111", "111101011", "10110110011"]
 LEAST = 12
 MISS = 3  # what a substitution takes from the score
 SENT_WORDS = 1 << 18

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import random
+from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from fleetlens.llm import decontam
@@ -70,3 +72,30 @@ def test_empty_tables(spark):
     assert decontam.leaks(docs(spark, []), benchmark).count() == 0
     assert decontam.leaks(df, benchmark.where("false")).count() == 0
     assert decontam.without_leaks(df, benchmark.where("false")).count() == len(rows)
+
+
+def seeded(pattern):
+    """Whether words that differ from an item's where ``pattern`` is 0 share a seed with it on the diagonal."""
+    return any(all(pattern[s + i] for i, c in enumerate(m) if c == "1") for m in decontam.MASKS for s in range(len(pattern) - len(m) + 1))
+
+
+def test_every_accepted_pattern_is_seeded(spark):
+    def grow(pattern, score):  # an accepted segment's score is above nothing at all its places
+        if len(pattern) >= decontam.LEAST and pattern[-1]:
+            assert seeded(pattern), pattern
+            return 1
+        return grow([*pattern, 1], score + 1) + (grow([*pattern, 0], score - decontam.MISS) if score > decontam.MISS else 0)
+
+    assert grow([1], 1) == 40
+    for n in range(7, 17):
+        item = np.arange(1, n + 1, dtype=np.uint64)
+        for k in range(n // 4 + 1):
+            for gone in combinations(range(n), k):
+                pattern = [int(i not in gone) for i in range(n)]
+                if decontam.best_segment(item * np.array(pattern, np.uint64), item, 0):
+                    assert seeded(pattern), pattern
+    rows = [(1, [f"a{i}" for i in range(60)], range(4, 60, 5)), (2, [f"b{i}" for i in range(15)], (4, 9))]
+    documents = [(i, " ".join("zz" if k in gone else w for k, w in enumerate(item))) for i, item, gone in rows]
+    benchmark = spark.createDataFrame([(i, " ".join(item)) for i, item, _ in rows], ITEMS)
+    got = decontam.leaks(docs(spark, documents), benchmark).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 2)]
