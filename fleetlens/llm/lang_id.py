@@ -6,8 +6,10 @@ The weights are learned with the follow-the-regularised-leader rule (per-coordin
 and an L2 penalty); a temperature fitted on rows kept out of that training calibrates the scores.
 
 Document frequencies cover every training document: each task sums its own and the sums are merged
-by bucket. The fit itself takes a bounded sample (parameter ``rows``: about an equal number of rows
-of each language, picked by a hash of the id); only its sparse features reach the driver.
+by bucket. The fit itself takes a bounded sample (parameter ``rows``: at most an equal number of rows
+of each language, one at least, picked by a hash of the row); only its sparse features reach the
+driver. The number of languages has no limit, but the driver holds about five tables of languages x
+BUCKETS numbers while it learns, and each worker one.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; if nothing can be
 learned, every text is; rows with a null language or text teach nothing; a tie goes to the first
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from fleetlens.llm.common import with_columns
 
@@ -143,23 +145,27 @@ def temperature(logits: np.ndarray, y: np.ndarray, smooth: float = 0.01) -> floa
     return float(np.exp((low + high) / 2))
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = 4000, most_languages: int = 200) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = 4000) -> Model:
     """Model from the rows of ``docs``: document frequencies from all, weights from about ``rows`` of them.
 
-    A language is learned if it is among the ``most_languages`` with most rows.
+    Every language is learned, from one row at least.
     """
     known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key"))
     total, n = document_frequencies(known, "text")
     idf = np.log((1 + n) / (1 + total)) + 1.0
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
-    if not sizes or not n:
+    hashed = known.where(F.col("text").rlike(r"\p{L}")).withColumn("place", F.xxhash64("key", "text", "lang"))
+    # One row for each language.
+    sizes = hashed.groupBy("lang").agg(F.count("*").alias("size"), F.min("place").alias("least"))
+    languages = sizes.count()
+    if not languages or not n:
         return Model((), idf, np.zeros((0, BUCKETS)), np.zeros(0), 1.0)
-    # About the same number of rows of each language, picked by a hash of the id.
-    share, scale = max(1, rows // len(sizes)), 1 << 30
-    limits = [x for name, size in sizes.items() for x in (F.lit(name), F.lit(int(min(1.0, share / size) * scale)))]
-    picked = F.pmod(F.xxhash64("key", F.col("lang")), F.lit(scale)) < F.coalesce(F.create_map(*limits)[F.col("lang")], F.lit(0))
-    chosen = known.where(picked).select("text", "lang")
+    # The rows of least hash of each language: nearly all others go before they are ranked.
+    share = max(1, rows // languages)
+    bound = F.least(F.lit(1.0), F.lit(2.0 * share + 40) / F.col("size"))
+    near = hashed.join(F.broadcast(sizes), "lang").where((F.col("place") == F.col("least")) | (F.col("place") / F.lit(2.0**64) + 0.5 <= bound))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "key")))
+    chosen = ranked.where(F.col("rank") <= share).select("text", "lang")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,14 +177,21 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                  pa.array([y for _, _, y in made], pa.string())], names=["at", "value", "lang"])
 
     found = sorted((bytes(r.at), bytes(r.value), r.lang) for r in chosen.mapInArrow(features, "at binary, value binary, lang string").collect())
-    languages = tuple(sorted({y for _, _, y in found}))
-    if not languages:
+    names = tuple(sorted({y for _, _, y in found}))
+    if not names:
         return Model((), idf, np.zeros((0, BUCKETS)), np.zeros(0), 1.0)
-    data = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32).astype(float), languages.index(y)) for a, v, y in found]
-    held = data[::5]
-    weights, bias = ftrl([r for i, r in enumerate(data) if i % 5] or data, len(languages))
+    number = {y: i for i, y in enumerate(names)}
+    data = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32).astype(float), number[y]) for a, v, y in found]
+    # Every fifth row of a language is kept out, never its first.
+    seen = [0] * len(names)
+    train, held = [], []
+    for row in data:
+        seen[row[2]] += 1
+        (train if seen[row[2]] % 5 else held).append(row)
+    held = held or data
+    weights, bias = ftrl(train, len(names))
     logits = np.array([weights[:, a] @ v + bias for a, v, _ in held])
-    return Model(languages, idf, weights, bias, temperature(logits, np.array([y for _, _, y in held])))
+    return Model(names, idf, weights, bias, temperature(logits, np.array([y for _, _, y in held])))
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", into: str = "lang_pred", score: str = "score") -> DataFrame:

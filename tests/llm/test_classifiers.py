@@ -104,3 +104,14 @@ def test_rule_query_runs_without_python(spark):
     counted = rule_lists.statistics(docs(spark, [(1, "a b")]))
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_every_language_is_learned_and_the_sample_is_bounded(spark):
+    rows = [(i, " ".join(chr(0x4E00 + 20 * i + k) for k in range(12)), f"l{i:03}") for i in range(230)]
+    rows += [(1000 + i, " ".join(chr(0x3400 + 20 * k) for k in range(i % 7, 12)), "zz") for i in range(300)]
+    df = docs(spark, rows + [(2000 + i, "12 34", "l005") for i in range(50)])
+    model = lang_id.fit(df)
+    assert model.languages == tuple(sorted({y for _, _, y in rows}))
+    assert (abs(model.weights).max(1) > 0).all()
+    got = lang_id.predict(df.where("doc_id < 1000"), model).collect()
+    assert sum(r.lang_pred == r.lang for r in got) > 200
