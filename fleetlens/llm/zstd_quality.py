@@ -107,10 +107,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     # At most 2 * rows ids: small enough to broadcast at any size of the tables.
     chosen = F.broadcast(picked[0].unionAll(picked[1]))
     raw = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("raw")).where("octet_length(raw) > 0").join(chosen, "k")
-    cut = raw.select("k", "y", F.expr(
+    cut = raw.select("k", "y", F.xxhash64("k", "raw").alias("place"), F.expr(
         f"transform(sequence(0, least({blocks - 1}, (octet_length(raw) - 1) div {BLOCK})), i -> substring(raw,"
         f" int(if(octet_length(raw) <= {BLOCK * blocks}, i * {BLOCK}L, i * (octet_length(raw) - {BLOCK}L) div {blocks - 1})) + 1, {BLOCK}))"
     ).alias("blocks"))
+    # An id may have many documents: the bound of rows holds for these, too.
+    cut = cut.where("y = 1").orderBy("place", "k").limit(rows).unionAll(cut.where("y = 0").orderBy("place", "k").limit(rows))
     sample = sorted((r.y, str(r.k), [bytes(b) for b in r.blocks]) for r in cut.collect())
     texts = {y: [b for label, _, b in sample if label == y and b"".join(b).strip()] for y in (0, 1)}
     if not texts[0] or not texts[1]:

@@ -115,3 +115,12 @@ def test_every_language_is_learned_and_the_sample_is_bounded(spark):
     assert (abs(model.weights).max(1) > 0).all()
     got = lang_id.predict(df.where("doc_id < 1000"), model).collect()
     assert sum(r.lang_pred == r.lang for r in got) > 200
+
+
+def test_quality_sample_is_bounded_where_an_id_repeats(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(zstd_quality, "dictionary", lambda blocks, real=zstd_quality.dictionary: taken.append(len(blocks)) or real(blocks))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    df = docs(spark, [(1, f"good text {i} " * 8) for i in range(300)] + [(2, f"### {i} $$$ " * 8) for i in range(300)])
+    zstd_quality.fit(df, labels, rows=40)
+    assert taken == [20, 20]
