@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import bpe, chat_format, decontam, gru_lm, html_extract, lang_id, near_dedup, rule_lists, token_histogram, zstd_quality
+from fleetlens.llm import bpe, chat_format, decontam, fim, gru_lm, html_extract, lang_id, near_dedup, rule_lists, token_histogram, zstd_quality
 from fleetlens.llm.common import read_table, remainder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,35 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op11_fim", """
+    WITH drawn AS (
+        SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h,
+            regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines
+        FROM documents),
+    numbers AS (
+        SELECT doc_id, text, lines, len(lines) AS n, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS side,
+            ('0x' || substr(h, 1, 8))::BIGINT % (len(lines) + 1) AS one, ('0x' || substr(h, 9, 8))::BIGINT % (len(lines) + 1) AS two
+        FROM drawn),
+    parts AS (
+        SELECT doc_id, text, n,
+            CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+                WHEN side < 50 THEN 'spm' ELSE 'psm' END AS form,
+            coalesce(array_to_string(lines[1:least(one, two)], ''), '') AS head,
+            coalesce(array_to_string(lines[least(one, two) + 1:greatest(one, two)], ''), '') AS middle,
+            coalesce(array_to_string(lines[greatest(one, two) + 1:], ''), '') AS tail
+        FROM numbers)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(head) END AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || middle
+            ELSE '<S>' || tail || '<P>' || head || '<M>' || middle END) AS output_sha256,
+        sha256(text) AS restored_sha256
+    FROM parts""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text cut into prefix, middle and suffix, and rebuilt from the output."""
+    back = fim.restore(fim.transform(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return back.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
