@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import bpe, chat_format, decontam, fim, gru_lm, html_extract, lang_id, near_dedup, rule_lists, token_histogram, zstd_quality
+from fleetlens.llm import bpe, chat_format, conv_repair, decontam, fim, gru_lm, html_extract, lang_id, near_dedup, rule_lists, token_histogram, zstd_quality
 from fleetlens.llm.common import read_table, remainder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +145,15 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n", "form", "prefix_chars", "middle_chars",
         F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
     )
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged by hash and repaired; one that lost all its rows has zeros."""
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conv_repair.repair(conv_repair.damaged(rows)).withColumnRenamed("conv_id", "found_id")
+    out = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return out.select(
+        "conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
