@@ -49,7 +49,7 @@ ENDS = (NONE, ASSISTANT)
 # What closes a conversation after its last row: the cost, and the edits.
 CLOSE = ((0, ""), (2 * INSERT, "II"), (INSERT, "I"), (0, ""))
 
-PIECE = 64  # rows; a power of two
+PIECE = 32  # rows; a power of two
 AT_ONCE = 256  # rows that are Python objects at a time
 FAR = 1 << 40
 
@@ -61,11 +61,12 @@ def faults(role: Column, text: Column) -> Column:
     return F.when(text.rlike(BLANK), "-").when(text.rlike(TRUNCATED), F.upper(known)).otherwise(known)
 
 
-def search(rows: str, start: int, goal: int | None) -> tuple[int, str]:
+def search(rows: str, start: int, goal: int | None, failed: dict[int, int] | None = None) -> tuple[int, str]:
     """Cheapest edits, ASCII-least among these, and their cost, over the letters of ``faults`` ('=' is a duplicate).
 
     From state ``start`` to state ``goal`` with no insertion after the last row, or, if ``goal`` is
-    None, to an accepting state.
+    None, to an accepting state. What failed on the way to one goal holds for every start: ``failed``
+    is the table that such searches share.
     """
     n = len(rows)
     if goal == NONE or goal == SYSTEM:
@@ -74,7 +75,7 @@ def search(rows: str, start: int, goal: int | None) -> tuple[int, str]:
     estimate = [0] * (n + 1)
     for i in range(n - 1, -1, -1):
         estimate[i] = estimate[i + 1] + (DELETE if rows[i] in "-=" else CUT_SHORT if rows[i].isupper() else 0)
-    failed: dict[int, int] = {}
+    failed = {} if failed is None else failed
     path: list[str] = []
 
     def walk(i: int, state: int, allowance: int) -> int:
@@ -143,7 +144,8 @@ def whole(rows: str) -> tuple[int, str]:
 @lru_cache(maxsize=1 << 12)
 def between(rows: str) -> tuple[tuple[int, ...], tuple[str, ...]]:
     """Costs and edits of a piece from each state (in order) to each state."""
-    cells = [search(rows, start, goal) for start in range(4) for goal in range(4)]
+    failed: list[dict[int, int]] = [{} for _ in range(4)]
+    cells = [search(rows, start, goal, failed[goal]) for start in range(4) for goal in range(4)]
     return tuple(c for c, _ in cells), tuple(e for _, e in cells)
 
 

@@ -127,7 +127,7 @@ def test_examples():
     assert cr.search("u", 0, None) == (2, "KI")
 
 
-@pytest.mark.parametrize("piece", [64, 4])
+@pytest.mark.parametrize("piece", [32, 4])
 def test_tables_against_brute_force(spark, monkeypatch, piece):
     monkeypatch.setattr(cr, "PIECE", piece)
     rng = random.Random(piece)
