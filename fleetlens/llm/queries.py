@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import bpe, chat_format, conv_repair, decontam, fim, gru_lm, html_extract, lang_id, near_dedup, rule_lists, token_histogram, zstd_quality
+from fleetlens.llm import bpe, chat_format, conv_repair, decontam, fim, gru_lm, html_extract, lang_id, near_dedup, pii, rule_lists, token_histogram, zstd_quality
 from fleetlens.llm.common import read_table, remainder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,6 +147,14 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op12_pii")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: counts and digest of the base spans, and all spans."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(docs, pii.fit(docs)).drop("text")
+    return found.select("doc_id", *[f"n_{kind}" for kind in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 @query("op13_conversation_repair")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation damaged by hash and repaired; one that lost all its rows has zeros."""
