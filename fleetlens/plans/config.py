@@ -2,15 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions import text as tf
-from fleetlens.operators import jobs as jb, layers, templates as tp
+from fleetlens.operators import chains, closure, jobs as jb, layers, templates as tp
 from fleetlens.session import stage
 from fleetlens.sources.documents import flatten_documents
 from fleetlens.sources.payloads import clean_lines
 
 
+def document_layers(
+    documents: DataFrame, variables: Mapping[str, Column], wanted: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Raw documents (path, value) to their layers (doc, layer, path, value), nearest
+    first, and the rejects (doc, item, reason).
+
+    Variables are filled in before a document is parsed, so a base may be named by one. A document
+    is left out as a whole if it or any of its bases has an unknown variable, is no JSON, names a
+    base that is no string or doesn't exist, or if its bases run in a circle. ``wanted`` (doc) are
+    the paths to list. Only paths travel through the rounds; the texts meet their layers at the end.
+    """
+    filled = documents.select("path", tp.substitute_env(F.col("value"), variables).alias("value"))
+    parsed = F.try_parse_json("value")
+    base = F.try_variant_get(parsed, F.lit("$.base"), "variant")
+    kind = F.regexp_extract(F.schema_of_variant(base), "^[A-Z]+", 0)
+    has_base = base.isNotNull() & (kind != "VOID")
+    read = stage(filled.select(
+        F.col("path").alias("doc"), F.when(has_base & (kind == "STRING"), base.cast("string")).alias("base"),
+        F.when(F.col("value").isNull(), "unknown variable").when(parsed.isNull(), "not JSON")
+        .when(has_base & (kind != "STRING"), "base is not a string").alias("fault"),
+    ), "documents")
+    rows, circling = chains.ancestor_layers(read.select("doc", "base"), wanted)
+    missing = read.filter(F.col("base").isNotNull()).join(
+        read.select(F.col("doc").alias("base")), "base", "left_anti"
+    ).select("doc", F.concat(F.lit("no such document: "), "base").alias("fault"))
+    faults = read.filter(F.col("fault").isNotNull()).select("doc", "fault").unionByName(missing)
+    spoiled = rows.join(faults.select(F.col("doc").alias("ancestor"), "fault"), "ancestor").select(
+        "doc", F.col("ancestor").alias("item"), F.col("fault").alias("reason"))
+    if wanted is not None:
+        circling = circling.join(wanted.select("doc"), "doc", "left_semi")
+    rejects = stage(spoiled.unionByName(circling.select("doc", F.col("doc").alias("item"), F.lit("circle of bases").alias("reason"))), "rejects")
+    good = rows.join(rejects.select("doc").distinct(), "doc", "left_anti")
+    texts = filled.select(F.col("path").alias("ancestor"), "value")
+    return good.join(texts, "ancestor").select("doc", "layer", F.col("ancestor").alias("path"), "value"), rejects
+
+
+def declared_dependencies(leaves: DataFrame) -> DataFrame:
+    """(cluster, ordinal, dep_cluster) of the dependency lists of merged documents, in list order."""
+    listed = leaves.filter((F.col("path") == "/cluster/dependencies") & (F.col("kind") == "list") & F.col("pos").isNotNull())
+    lists = listed.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("layer", "pos", "value"))).alias("items"))
+    return lists.select(F.col("doc").alias("cluster"), F.posexplode("items").alias("ordinal", "item")).select(
+        "cluster", F.col("ordinal").cast("bigint").alias("ordinal"), F.col("item.value").alias("dep_cluster"))
+
+
+def unloadable(clusters: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """(doc, item, reason) of the ``clusters`` (doc) that depend, over however many steps, on something
+    that is none of them or on themselves."""
+    edges = dependencies.select(F.col("cluster").alias("src"), F.col("dep_cluster").alias("dst"))
+    reached = closure.transitive_closure(edges)
+    absent = reached.join(clusters.select(F.col("doc").alias("dst")), "dst", "left_anti").select(
+        F.col("src").alias("doc"), F.col("dst").alias("item"), F.lit("dependency is not there").alias("reason"))
+    own = reached.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("dst"))
+    around = reached.join(own, "dst", "left_semi").select(
+        F.col("src").alias("doc"), F.col("dst").alias("item"), F.lit("circle of dependencies").alias("reason"))
+    return absent.unionByName(around)
+
+
 def merged_leaves(layer_docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc, layer, value JSON) -> (merged leaf rows, rejects)."""
     return layers.overlay(flatten_documents(layer_docs))
@@ -119,7 +178,32 @@ def effective_config(
     run as joins over all documents at once.
     """
     merged, _ = merged_leaves(layer_docs)
+    return _rendered(stage(merged, "merged"), dependencies, agent_root, skip_host, texts)
+
+
+def effective_from_documents(
+    documents: DataFrame, variables: Mapping[str, Column], agent_root: str, wanted: DataFrame | None = None,
+    skip_host: bool = False, texts: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """X8 from raw documents (path, value): the frame of ``effective_config``, and the rejects (doc, item, reason).
+
+    X2, the base chain, the overlay and the dependencies that the documents themselves declare are
+    composed. ``wanted`` (doc) must hold the dependencies too. As a document that can't be loaded
+    can't be depended on, the documents above it are rejected with it.
+    """
+    layer_docs, unread = document_layers(documents, variables, wanted)
+    merged, clashes = merged_leaves(layer_docs.select("doc", "layer", "value"))
     leaves = stage(merged, "merged")
+    # Every document that merges has the row of its root.
+    clusters = leaves.filter((F.col("path") == "") & (F.col("layer") == 0)).select("doc").distinct()
+    dependencies = stage(declared_dependencies(leaves), "dependencies")
+    stuck = stage(unloadable(clusters, dependencies), "stuck")
+    loaded = leaves.join(stuck.select("doc").distinct(), "doc", "left_anti")
+    rejects = unread.unionByName(clashes.select("doc", F.col("path").alias("item"), "reason")).unionByName(stuck)
+    return _rendered(loaded, dependencies, agent_root, skip_host, texts), rejects
+
+
+def _rendered(leaves: DataFrame, dependencies: DataFrame, agent_root: str, skip_host: bool, texts: DataFrame | None) -> DataFrame:
     tasks, _ = task_rows(leaves)
     files = stage(job_files(leaves, texts), "files")
     fleet = tasks.withColumnRenamed("doc", "cluster")

@@ -452,6 +452,50 @@ def layer_documents(spark: SparkSession, sf: str) -> DataFrame:
     return near.unionByName(of_nation).unionByName(of_region)
 
 
+def chained_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """(path, value): a document per customer on chains of 50. The base, named through a variable, is the
+    customer before; of the first of 50 it is nothing, the last of the 50 (every seventh chain, a circle),
+    or a document that isn't there (every eleventh). A few documents use an unknown variable, are no
+    JSON, or have a list for a base."""
+    c, block = F.col("c_custkey"), F.floor(F.col("c_custkey") / 50)
+    first = c % 50 == 0
+    base = F.when(~first, _text("/", c - 1)).when(block % 7 == 3, _text("/", c + 49)).when(block % 11 == 5, "/gone")
+    value = F.when(c % 331 == 7, '{"base":"{{.Home}}/x"}').when(c % 331 == 20, "{").when(c % 331 == 40, '{"base":["x"]}').otherwise(
+        _text('{"base":', F.coalesce(_text('"{{.ConfRootDir}}', base, '"'), F.lit("null")), ',"cluster":{"n":', c, "}}"))
+    return table(spark, sf, "customer").select(_text("/conf/", c).alias("path"), value.alias("value"))
+
+
+def raw_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """(path, value): the documents of ``layer_documents`` as files. A customer's base is its nation's, that
+    one's its region's. Customers depend on the one of the next lower full ten, and name it in a file."""
+    customer, nation, region = (table(spark, sf, t) for t in ("customer", "nation", "region"))
+    k = F.col("c_custkey")
+    hub = k - k % 10
+    near = layer_documents(spark, sf).filter("layer = 0").join(customer, F.col("doc") == k)
+    linked = F.replace(
+        F.replace("value", F.lit('"cluster":{'), _text('"cluster":{"dependencies":["/conf/c/', hub, '"],')),
+        F.lit('"config":{'), F.lit('"config":{"peer.txt":["%{dependencies.0.cluster_name}=%{dependencies.0.web.server_list}"],'))
+    based = lambda value, base: F.concat(F.lit('{"base":"'), base, F.lit('",'), F.substring(value, 2, 1 << 30))
+    mine = near.select(
+        _text("/conf/c/", k).alias("path"),
+        based(F.when(k % 10 == 0, F.col("value")).otherwise(linked), _text("{{.ConfRootDir}}/n/", F.col("c_nationkey"))).alias("value"))
+    of_nation = nation.select(
+        _text("/conf/n/", F.col("n_nationkey")).alias("path"), _object({
+            "base": _text('"{{.ConfRootDir}}/r/', F.col("n_regionkey"), '"'),
+            "cluster": _object({
+                "cluster_name": _text('"', F.col("n_name"), '"'), "project": _text('"p', F.col("n_regionkey"), '"'), "main_process": F.lit('"/usr/bin/java"')}),
+            "jobs": F.lit('{"web":{"hosts":["far:9001/id=2"],"jvm_opts":["-server","-verbose"],"config":{"site.xml":["a=far","c=1"]}}}'),
+        }).alias("value"))
+    of_region = region.select(
+        _text("/conf/r/", F.col("r_regionkey")).alias("path"), _object({
+            "cluster": _object({"project": F.lit('"base"'), "package_md5sum": _text('"', F.md5(F.col("r_name")), '"')}),
+            "jobs": F.lit(
+                '{"job_common":{"jvm_opts":["-verbose","-ea","-ea"],'
+                '"config":{"web.cfg":["name=common","log=$AgentRootDir/log"],"myid":["$TaskId"]}}}'),
+        }).alias("value"))
+    return mine.unionByName(of_nation).unionByName(of_region)
+
+
 def manifest(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as packages; a label of low quality states a wrong size, or a wrong checksum
     when the text is also toxic."""

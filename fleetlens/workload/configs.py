@@ -455,6 +455,64 @@ def effective_rejects(spark, sf):
     return plan.effective_rejects(*ad.file_documents(spark, sf))
 
 
+_CHAIN = """WITH RECURSIVE c AS (SELECT c_custkey AS k, c_custkey // 50 AS b FROM customer),
+own AS (SELECT k, CASE WHEN k % 331 = 7 THEN 'unknown variable' WHEN k % 331 = 20 THEN 'not JSON'
+WHEN k % 331 = 40 THEN 'base is not a string' END AS fault,
+CASE WHEN k % 331 IN (7, 20, 40) THEN NULL WHEN k % 50 > 0 THEN k - 1 WHEN b % 7 = 3 THEN k + 49 END AS up,
+CASE WHEN k % 331 IN (7, 20, 40) OR k % 50 > 0 OR b % 7 = 3 THEN NULL WHEN b % 11 = 5 THEN '/conf/gone' END AS gone FROM c),
+links AS (SELECT k, CASE WHEN up IN (SELECT k FROM c) THEN up END AS up, fault,
+CASE WHEN gone IS NOT NULL THEN gone WHEN up IS NOT NULL AND up NOT IN (SELECT k FROM c) THEN '/conf/' || up END AS gone FROM own),
+walk AS (SELECT k, 0 AS layer, k AS anc FROM links
+UNION ALL SELECT w.k, layer + 1, l.up FROM walk w JOIN links l ON w.anc = l.k WHERE l.up IS NOT NULL AND layer < 60),
+circles AS (SELECT DISTINCT k FROM walk WHERE layer = 60),
+bad AS (SELECT w.k, '/conf/' || anc AS item, fault AS reason FROM walk w JOIN links l ON w.anc = l.k
+WHERE fault IS NOT NULL AND w.k NOT IN (SELECT k FROM circles)
+UNION ALL SELECT w.k, '/conf/' || anc, 'no such document: ' || gone FROM walk w JOIN links l ON w.anc = l.k
+WHERE gone IS NOT NULL AND w.k NOT IN (SELECT k FROM circles)
+UNION ALL SELECT k, '/conf/' || k, 'circle of bases' FROM circles)"""
+
+
+def _chains(spark, sf):
+    return plan.document_layers(ad.chained_documents(spark, sf), {"ConfRootDir": F.lit("/conf")})
+
+
+@query("config_chain", f"""{_CHAIN} SELECT '/conf/' || k AS doc, CAST(layer AS BIGINT) AS layer, '/conf/' || anc AS path,
+'{{"base":' || CASE WHEN up IS NULL THEN 'null' ELSE '"/conf/' || up || '"' END || ',"cluster":{{"n":' || anc || '}}}}' AS value
+FROM walk JOIN (SELECT k AS anc, up FROM links) USING (anc) WHERE k NOT IN (SELECT k FROM bad)""")
+def config_chain(spark, sf):
+    return _chains(spark, sf)[0]
+
+
+@query("config_chain_rejects", f"{_CHAIN} SELECT '/conf/' || k AS doc, item, reason FROM bad")
+def config_chain_rejects(spark, sf):
+    return _chains(spark, sf)[1]
+
+
+def _from_documents(spark, sf):
+    wanted = table(spark, sf, "customer").select(_text("/conf/c/", F.col("c_custkey")).alias("doc"))
+    return plan.effective_from_documents(ad.raw_documents(spark, sf), {"ConfRootDir": F.lit("/conf")}, "/agent", wanted=wanted)
+
+
+_HUBS = """hubs AS (SELECT c_custkey AS k, c_name, c_custkey - c_custkey % 10 AS hub FROM customer),
+stuck AS (SELECT k FROM hubs h WHERE k % 10 > 0 AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = h.hub AND c_acctbal >= 0))"""
+
+
+@query("effective_from_documents", f"""{_EFFECTIVE}, {_HUBS}, peers AS (SELECT *, 'peer.txt' AS file, h.c_name || '=h' || hub || ':10000,h' || hub || ':9101,far:10000' AS text
+FROM k JOIN (SELECT a.k AS doc, a.hub, b.c_name FROM hubs a JOIN hubs b ON a.hub = b.k WHERE a.k % 10 > 0) h USING (doc))
+SELECT '/conf/c/' || doc AS doc, cluster_name, job, task_id, file, text IS NOT NULL AS ok, text FROM (
+SELECT doc, cluster_name, job, task_id, file, text FROM files UNION ALL SELECT doc, cluster_name, job, task_id, file, text FROM peers)
+WHERE doc NOT IN (SELECT k FROM stuck)""")
+def effective_from_documents(spark, sf):
+    return _from_documents(spark, sf)[0]
+
+
+@query("document_rejects", f"""WITH {_HUBS} SELECT '/conf/c/' || c_custkey AS doc, '/jobs/web/hosts' AS item, 'kind conflict' AS reason FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT '/conf/c/' || k, '/conf/c/' || hub, 'dependency is not there' FROM stuck JOIN hubs USING (k)
+JOIN customer ON c_custkey = k WHERE c_acctbal >= 0""")
+def document_rejects(spark, sf):
+    return _from_documents(spark, sf)[1]
+
+
 @query("config_corpus_scan", """SELECT 'n' || s_nationkey AS project, s_name AS cluster_name, 's' || s_suppkey AS job,
 'h' || s_suppkey || ':9001/id=0' AS first_host, true AS parsed, count(*) AS documents FROM supplier WHERE s_acctbal >= 0 GROUP BY 1, 2, 3, 4
 UNION ALL SELECT 'n' || s_nationkey AS project, NULL, NULL, NULL, false AS parsed, count(*) AS documents FROM supplier WHERE s_acctbal < 0 GROUP BY 1""")

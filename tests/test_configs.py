@@ -328,3 +328,59 @@ def test_yaml(spark, rows):
     out = docs.yaml_to_json(df)
     assert rows(out.filter("error is null"), "path", "value") == [("a", '{"x": [1, "two"]}')]
     assert rows(out.filter("error is not null"), "path") == [("b",)]
+
+
+def test_chains_of_bases(spark):
+    import random
+
+    from fleetlens.operators import chains
+
+    rng = random.Random(1)
+    base = {f"d{i}": f"d{i - 1}" if i % 40 else None for i in range(200)}
+    base |= {f"h{i}": "d39" for i in range(300)} | {"a": "b", "b": "c", "c": "a", "x": "a", "own": "own", "gone": "nowhere"}
+    base |= {f"r{i}": rng.choice([None, f"r{rng.randrange(60)}"]) for i in range(60)}
+    want, around = set(), set()
+    for doc in base:
+        at, layer, rows = doc, 0, set()
+        while at in base and layer <= len(base):
+            rows.add((doc, layer, at))
+            at, layer = base[at], layer + 1
+        if layer > len(base):
+            around.add(doc)
+        else:
+            want |= rows
+    links = spark.createDataFrame(list(base.items()), "doc string, base string")
+    rows, circling = chains.ancestor_layers(links)
+    assert {tuple(r) for r in rows.collect()} == want and rows.count() == len(want)
+    assert {r.doc for r in circling.collect()} == around
+    some = spark.createDataFrame([("d39",), ("a",), ("h1",), ("h1",)], "doc string")
+    assert {tuple(r) for r in chains.ancestor_layers(links, some)[0].collect()} == {w for w in want if w[0] in ("d39", "h1")}
+    assert chains.ancestor_layers(links.limit(0))[0].count() == 0
+
+
+def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    from fleetlens.operators import chains
+
+    made = []
+    monkeypatch.setattr(chains, "stage", lambda df, label: made.append(label) or spark.createDataFrame(df.collect(), df.schema))
+    links = spark.createDataFrame([(i, i - 1 if i else None) for i in range(500)], "doc long, base long")
+    assert chains.ancestor_layers(links, spark.createDataFrame([(499,)], "doc long"))[0].count() == 500
+    assert made.count("jump") == 10 and made.count("layers") == 9
+
+
+def test_documents_that_cannot_be_loaded(spark):
+    from fleetlens.plans import config as plan
+
+    rows = [
+        ("/a", '{"base":"{{.ConfRootDir}}/base","cluster":{"dependencies":["/b","/c"]}}'), ("/etc/base", '{"cluster":{"cluster_name":"n"}}'),
+        ("/b", '{"cluster":{"dependencies":["/bad"]}}'), ("/bad", '{"base":"{{.Nope}}"}'), ("/c", "{}"), ("/d", '{"cluster":{"dependencies":["/d"]}}'),
+        ("/e", '{"base":null,"cluster":{"dependencies":["/c"]}}'), ("/f", '{"base":7}'), ("/g", '{"base":"/f"}'),
+    ]
+    documents = spark.createDataFrame(rows, "path string, value string")
+    _, rejects = plan.effective_from_documents(documents, {"ConfRootDir": F.lit("/etc")}, "/agent")
+    assert {tuple(r) for r in rejects.collect()} == {
+        ("/bad", "/bad", "unknown variable"), ("/f", "/f", "base is not a string"), ("/g", "/f", "base is not a string"),
+        ("/b", "/bad", "dependency is not there"), ("/a", "/bad", "dependency is not there"), ("/d", "/d", "circle of dependencies"),
+    }
+    layers, _ = plan.document_layers(documents, {"ConfRootDir": F.lit("/etc")})
+    assert {(r.layer, r.path) for r in layers.filter("doc = '/a'").collect()} == {(0, "/a"), (1, "/etc/base")}
