@@ -13,6 +13,11 @@ def series_key(metric: Column, tags: Column) -> Column:
     return F.concat(metric, F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
 
 
+def series_id(key: Column) -> Column:
+    """A 64-bit number for a series key."""
+    return F.xxhash64(key)
+
+
 def merge_tags(extra: Column, base: Column) -> Column:
     """Union of two tag maps; ``extra`` wins on a common key."""
     return F.map_zip_with(extra, base, lambda _, e, b: F.coalesce(e, b))

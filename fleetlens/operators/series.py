@@ -11,9 +11,6 @@ from fleetlens.functions import points as pf
 # The time ranges a dashboard offers.
 TIME_OPTIONS = ["5m", "15m", "1h", "6h", "12h", "24h", "2d", "7d", "30d"]
 
-SENT_METRICS = 10_000  # rows of the broadcast list of a tag filter
-
-
 def span_seconds(expression: Column) -> Column:
     """Seconds in ``now-5m`` or ``5m`` style texts (s, m, h, d)."""
     amount = F.regexp_extract(expression, r"([0-9]+)([smhd])$", 1).try_cast("bigint")
@@ -29,24 +26,50 @@ def time_range(points: DataFrame, as_of: Column, span: str) -> DataFrame:
     return points.filter(F.col("ts") > as_of - F.expr(f"INTERVAL '{amount}' {unit}"))
 
 
+def dictionary(points: DataFrame) -> DataFrame:
+    """(series_id, metric, tags, series_key): each series of ``points`` (metric, tags, series_key) once."""
+    known = points if "series_id" in points.columns else points.withColumn("series_id", pf.series_id(F.col("series_key")))
+    return known.groupBy("series_id", "metric", "tags", "series_key").agg(F.count("*").alias("n")).drop("n")
+
+
+def match_series(series: DataFrame, targets: DataFrame) -> DataFrame:
+    """F4 on a series dictionary: the columns of ``targets`` but its tags, the selector, and the series_id of
+    every series whose metric agrees and which has all tags of the target.
+
+    Each ``tag=value`` of a metric stands for the list of series that have it. A target is looked up
+    in its shortest list alone, and its other tags are tested on the series found there, so a tag that
+    everything has is never spread out. Only series take part, no points.
+    """
+    wanted = targets.withColumn("selector", pf.series_key(F.col("metric"), F.col("tags")))
+    asked = wanted.select("selector", "metric", F.col("tags").alias("asked")).dropDuplicates(["selector"])
+
+    def entries(tags: str) -> Column:
+        return F.explode(F.transform(F.map_entries(tags), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+
+    lists = series.select("series_id", "metric", "tags", entries("tags").alias("entry"))
+    sizes = lists.groupBy("metric", "entry").agg(F.count("*").alias("n"))
+    shortest = asked.select("selector", "metric", entries("asked").alias("entry")).join(sizes, ["metric", "entry"], "left").groupBy("selector").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "entry"))["entry"].alias("entry"))
+    tagged = asked.join(shortest, "selector").join(lists, ["metric", "entry"])
+    bare = asked.filter(F.size("asked") == 0).join(series.select("series_id", "metric", "tags"), "metric")
+    pairs = tagged.select("selector", "asked", "series_id", "tags").unionByName(bare.select("selector", "asked", "series_id", "tags")).filter(
+        F.forall(F.map_entries("asked"), lambda e: F.try_element_at(F.col("tags"), e["key"]).eqNullSafe(e["value"])))
+    return pairs.select("selector", "series_id").join(wanted.drop("tags"), "selector")
+
+
 def tag_filter(points: DataFrame, targets: DataFrame) -> DataFrame:
-    """(point, target) pairs whose metric agrees and whose target tags the point all has.
+    """F4 on points without a dictionary: (point, target) pairs whose metric agrees and whose target tags the point all has.
 
-    Instead of a join on the metric with a tag test on every pair, each point is projected
-    on the tag names some target of its metric asks for. That gives the same selector text
-    the target has, so the match is one equi-join. The tag-name sets are gathered to one row
-    per metric and counted: up to SENT_METRICS rows they are broadcast, so the points stay where
-    they are; beyond that they are joined by metric.
+    Each point is projected on the tag names some target of its metric asks for. That gives the same
+    selector text the target has, so the match is one equi-join. Points with a dictionary meet their
+    targets through ``match_series`` instead.
     """
     wanted = targets.withColumn("selector", pf.series_key(F.col("metric"), F.col("tags")))
     shapes = targets.groupBy("metric").agg(F.collect_set(F.array_sort(F.map_keys("tags"))).alias("shapes"))
-    small = shapes.limit(SENT_METRICS + 1).count() <= SENT_METRICS
-    shaped = points.join(F.broadcast(shapes) if small else shapes, "metric").withColumn("names", F.explode("shapes")).drop("shapes").filter(
+    shaped = points.join(shapes, "metric").withColumn("names", F.explode("shapes")).drop("shapes").filter(
         F.forall("names", lambda n: F.map_contains_key(F.col("tags"), n))
     )
-    projected = F.transform(
-        "names", lambda n: F.concat(n, F.lit("="), F.try_element_at(F.col("tags"), n))
-    )
+    projected = F.transform("names", lambda n: F.concat(n, F.lit("="), F.try_element_at(F.col("tags"), n)))
     keyed = shaped.withColumn(
         "selector", F.concat("metric", F.lit("{"), F.array_join(projected, ","), F.lit("}"))
     ).drop("names")
@@ -84,15 +107,16 @@ def latest_per_second(points: DataFrame, order: str, keys: Sequence[str] = ("ser
 def rate(
     points: DataFrame,
     keys: Sequence[str] = ("series_key",),
-    counter: bool = False,
-    counter_max: float | None = None,
+    counter: bool | Column = False,
+    counter_max: float | Column | None = None,
     chunk_seconds: int = 3600,
     ts: str = "ts",
 ) -> DataFrame:
     """Change per second against the previous point of the series.
 
     With ``counter`` a falling value is a wrapped counter: ``counter_max`` is added when
-    given, otherwise the row is dropped. Expects one row per series and instant.
+    given, otherwise the row is dropped. Both may be columns over ``keys``. Expects one row per series
+    and instant.
 
     A plain lag would sort a whole series in one task. Here a series is cut into time
     chunks, each chunk is its own window partition, and the last point of the previous
@@ -113,9 +137,9 @@ def rate(
         F.lag("value").over(w).alias("prev"), F.lag(ts).over(w).alias("prev_ts"),
     ).filter(~F.col("seed"))
     delta = F.col("value") - F.col("prev")
-    if counter:
-        wrapped = delta + F.lit(counter_max) if counter_max is not None else F.lit(None).cast("double")
-        delta = F.when(delta < 0, wrapped).otherwise(delta)
+    if isinstance(counter, Column) or counter:
+        top = counter_max if isinstance(counter_max, Column) else F.lit(counter_max).cast("double")
+        delta = F.when((delta < 0) & (counter if isinstance(counter, Column) else F.lit(True)), delta + top).otherwise(delta)
     seconds = (F.unix_micros(ts) - F.unix_micros("prev_ts")) / F.lit(1e6)
     return lagged.select(*keys, ts, F.try_divide(delta, seconds).alias("rate")).filter(
         F.col("rate").isNotNull()

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.functions import points as pf
+from fleetlens import store
 from fleetlens.operators import panels as pn, series as sr
 from fleetlens.plans import metrics as plans
+from fleetlens.session import new_work_dir
 from fleetlens.sources import documents as docs
 from fleetlens.workload import adapters as ad
 from fleetlens.workload.registry import epoch, query, r6, table
@@ -258,3 +260,72 @@ def panel_eval(spark, sf):
     as_of = events.agg(F.max("ts")).scalar()
     values = plans.evaluate_panels(ad.event_points(spark, sf).drop("seq"), targets, as_of)
     return values.select("uid", "title", F.unix_micros("ts").alias("ts_us"), r6("value").alias("value"))
+
+
+# -- stored points --------------------------------------------------------------------
+
+def _stored(spark, sf):
+    """Events in two batches: a part of the first has wrong values, which the late second one corrects
+    with a higher priority. The first is then written again."""
+    points, path = ad.event_points(spark, sf), new_work_dir(spark, "store")
+    late = (F.col("seq") % 10 == 3) | (F.col("seq") % 7 == 0)
+    first = points.filter(F.col("seq") % 10 != 3).withColumn("value", F.when(F.col("seq") % 7 == 0, F.col("value") + 1000).otherwise(F.col("value")))
+    store.append_points(first, path, batch=1)
+    store.append_points(points.filter(late), path, batch=2, priority=1)
+    store.append_points(first, path, batch=1)
+    return store.read_points(spark, path), store.read_series(spark, path)
+
+
+_KEPT = f"""{EVENTS}, s AS (SELECT series_key, event_type, user_id, ts, max(late) AS late, arg_max(value, late * 1e9 + value) AS value
+FROM (SELECT *, CAST(event_id % 10 = 3 OR event_id % 7 = 0 AS INTEGER) AS late FROM e) GROUP BY 1, 2, 3, 4)"""
+
+
+@query("point_store", f"""WITH {_KEPT} SELECT series_key, split_part(series_key, '{{', 1) AS metric_family, epoch_us(ts) AS ts_us, late AS priority,
+round(value, 6) AS value FROM s""")
+def point_store(spark, sf):
+    points, series = _stored(spark, sf)
+    return points.join(series, "series_id").select(
+        "series_key", "metric_family", F.unix_micros("ts").alias("ts_us"), "priority", r6("value").alias("value"))
+
+
+def _user_dashboards(spark, sf):
+    """A dashboard document per user: an average by the default interval, a counter's rate in steps of six
+    hours, single values, and daily sums."""
+    user = F.col("user_id").cast("string")
+
+    def panel(title, metric, aggregator, **fields):
+        target = {"metric": F.lit(metric), "aggregator": F.lit(aggregator), "tags": F.create_map(F.lit("user"), user), **fields}
+        return _text('{"title":"', title, '","targets":[', F.to_json(F.struct(*[v.alias(k) for k, v in target.items()])), "]}")
+
+    yes = F.lit(True)
+    panels = [
+        panel("clicks", "events.click", "avg"),
+        panel("views", "events.view", "avg", shouldComputeRate=yes, isCounter=yes, counterMax=F.lit("1000"), downsampleInterval=F.lit("6h")),
+        panel("errors", "events.error", "first", disableDownsampling=yes, downsampleInterval=F.lit("1s")),
+        panel("buys", "events.purchase", "sum", isCounter=F.lit(False), counterMax=F.lit(""), downsampleInterval=F.lit("1d")),
+    ]
+    document = _text('{"uid":"user-', user, '","time":{"from":"now-10d","to":"now"},"panels":[', F.concat_ws(",", *panels), "]}")
+    return table(spark, sf, "events").select("user_id").distinct().select(document.alias("value"))
+
+
+def _bucket(hours: int) -> str:
+    return f"CAST(floor(epoch(ts) / {hours * 3600}) AS BIGINT) * {hours * 3600}"
+
+
+@query("dashboard_values", f"""WITH {_KEPT}, now AS (SELECT CAST(floor(epoch(max(ts))) AS BIGINT) - 864000 AS oldest FROM events),
+b AS (SELECT event_type, user_id, series_key, CASE event_type WHEN 'click' THEN {_bucket(1)} WHEN 'view' THEN {_bucket(6)}
+ELSE {_bucket(24)} END AS at_s, avg(value) AS v FROM s WHERE event_type IN ('click', 'view', 'purchase') AND floor(epoch(ts)) > (SELECT oldest FROM now) GROUP BY 1, 2, 3, 4),
+c AS (SELECT event_type, user_id, at_s, CASE WHEN event_type = 'purchase' THEN sum(v) ELSE avg(v) END AS v FROM b
+WHERE at_s > (SELECT oldest FROM now) GROUP BY 1, 2, 3),
+d AS (SELECT user_id, at_s, v - lag(v) OVER w AS delta, at_s - lag(at_s) OVER w AS dt FROM c WHERE event_type = 'view' WINDOW w AS (PARTITION BY user_id ORDER BY at_s))
+SELECT 'user-' || user_id AS uid, 'clicks' AS title, at_s * 1000000 AS ts_us, round(v, 6) AS value FROM c WHERE event_type = 'click'
+UNION ALL SELECT 'user-' || user_id, 'buys', at_s * 1000000, round(v, 6) FROM c WHERE event_type = 'purchase'
+UNION ALL SELECT 'user-' || user_id, 'views', at_s * 1000000, round(CASE WHEN delta < 0 THEN delta + 1000 ELSE delta END / dt, 6) + 0.0 FROM d WHERE dt > 0
+UNION ALL SELECT 'user-' || user_id, 'errors', epoch_us(ts), round(arg_min(value, series_key), 6) FROM s
+WHERE event_type = 'error' AND floor(epoch(ts)) > (SELECT oldest FROM now) GROUP BY 1, 2, 3""")
+def dashboard_values(spark, sf):
+    points, series = _stored(spark, sf)
+    targets = plans.dashboard_targets(docs.panel_rows(_user_dashboards(spark, sf)))
+    as_of = table(spark, sf, "events").agg(F.max("ts")).scalar()
+    values = plans.evaluate_panels(points, targets, as_of, dictionary=series)
+    return values.select("uid", "title", F.unix_micros("ts").alias("ts_us"), r6("value").alias("value"))
