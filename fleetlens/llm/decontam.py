@@ -1,18 +1,19 @@
 """Benchmark decontamination by spaced seeds.
 
-Words (A-Z in lower case) are hashed. A mask such as 111101011 marks which of the next words count:
+Words (A-Z in lower case) are hashed. A mask such as 11001011 marks which of the next words count:
 the hash of those words is a seed, and words under a 0 may differ. Seeds of all benchmark items and
 of all documents are joined; every hit names an item and a diagonal (document place minus item
-place). Around a hit, document and item are compared word by word along the diagonal, without gaps:
-the segment of greatest score (1 for an equal word, -3 for a substitution) is a leak if it has at
-least LEAST words (or the whole item, if that is shorter), at least three quarters of them equal.
+place). Around a hit, document and item are compared word by word along the diagonal, without gaps.
+A leak is a segment of at least LEAST words (or of the whole item, if that is shorter) of which at
+least three quarters are equal; the longest one is reported, the first of equals, without the words
+that differ at its ends as far as it stays that long.
 
 While the benchmark has at most SENT_WORDS words, its seeds and words are sent to the tasks, where
 the join and the comparison run next to the text. Beyond that the seeds of the documents are
 joined with those of the benchmark by hash, and the hits with the texts around them by key.
 
-Defined results: a null or empty text or item has no words and no leak; an item with fewer words
-than the shortest mask is too short to be evidence and never matches; an item that occurs several
+Defined results: a null or empty text or item has no words and no leak; an item with fewer than
+SHORTEST words is too short to be evidence and never matches; an item that occurs several
 times in a document is reported once, at its best place, the first of equals; repeated documents and
 items are reported each; null ids are passed on. The result has only the columns named.
 """
@@ -25,17 +26,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fleetlens.llm.common import WordHashes, mix64, stage, unique_name, with_columns, words_of
 
-# Seven words count in every mask. Every segment that the comparison accepts has a seed of
-# one of them: they cover all ways to begin such a segment up to its twelfth word or the next equal one.
-MASKS = ["1111111", "111101011", "10110110011"]
+# Five words count in every mask. Every way to replace up to a quarter of 7 to 12, 16 or 20
+# words leaves a seed of one of them, and a longer leak has a part of 12 to 23 words that is one too.
+MASKS = ["110111", "1111001", "1010111", "11001011", "11100101", "10011011", "111101", "11111"]
 LEAST = 12
-MISS = 3  # what a substitution takes from the score
+SHORTEST = 7
 SENT_WORDS = 1 << 18
 _OFFSETS = [np.array([i for i, c in enumerate(m) if c == "1"]) for m in MASKS]
-_ODD = np.random.default_rng(20240611).integers(1, 1 << 63, (len(MASKS), 7), dtype=np.uint64) | np.uint64(1)
+_ODD = np.random.default_rng(20240611).integers(1, 1 << 63, (len(MASKS), 5), dtype=np.uint64) | np.uint64(1)
 
 _hashes = WordHashes()
 
@@ -56,23 +58,24 @@ def seeds_of(words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def best_segment(words: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
-    """Start in ``words``, length and equal words of the best segment on a diagonal, None if it is no leak."""
+    """Start in ``words``, length and equal words of the longest leak on a diagonal, None if there is none."""
     low, high = max(0, diagonal), min(len(words), diagonal + len(item))
     if high <= low:
         return None
     same = words[low:high] == item[low - diagonal : high - diagonal]
-    best, total, start = (0, 0, 0), 0, 0
-    for i, ok in enumerate(same.tolist()):
-        if total <= 0:
-            total, start = 0, i
-        total += 1 if ok else -MISS
-        if ok and total > best[0]:
-            best = (total, start, i + 1)
-    _, a, b = best
-    equal = int(same[a:b].sum())
-    if b - a < min(LEAST, len(item)) or 4 * equal < 3 * (b - a):
+    # A segment is three quarters equal if the sums below don't fall from its start to its end. The
+    # earliest start for an end is the first place at which the least sum so far is no greater.
+    sums = np.r_[0, np.cumsum(np.where(same, 1, -3))]
+    starts = np.searchsorted(-np.minimum.accumulate(sums), -sums, "left")
+    end = int(np.argmax(np.arange(len(sums)) - starts))
+    start, least = int(starts[end]), min(LEAST, len(item))
+    if end - start < least:
         return None
-    return low + a, b - a, equal
+    while not same[start] and end - start > least:
+        start += 1
+    while not same[end - 1] and end - start > least:
+        end -= 1
+    return low + start, end - start, int(same[start:end].sum())
 
 
 class Index:
@@ -82,7 +85,7 @@ class Index:
 
     def __init__(self, items: list[np.ndarray]):
         self.items = items
-        cells = [(h, np.full(len(h), i), at) for i, item in enumerate(items) for at, h in seeds_of(item)]
+        cells = [(h, np.full(len(h), i), at) for i, item in enumerate(items) if len(item) >= SHORTEST for at, h in seeds_of(item)]
         seeds, whose, places = (np.concatenate(x) if cells else np.zeros(0, t) for x, t in zip(zip(*cells) if cells else ((), (), ()), (np.uint64, int, int)))
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.whose, self.places = seeds[order], whose[order], places[order]
@@ -157,7 +160,7 @@ def send(items: DataFrame) -> Broadcast:
 def by_sending(rows: DataFrame, items: DataFrame) -> DataFrame:
     sent = send(items)
     made: list = []
-    item_type = items.schema["item_id"].dataType.simpleString()
+    kind = to_arrow_schema(items.schema).field("item_id").type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made:
@@ -168,7 +171,6 @@ def by_sending(rows: DataFrame, items: DataFrame) -> DataFrame:
                 for item, segment in made[0].leaks(hashed(doc)).items():
                     for column, x in zip(out, (i, sent.value[0][item], *segment)):
                         column.append(x)
-            kind = pa.string() if item_type == "string" else pa.int32() if item_type == "int" else pa.int64()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], kind), *(pa.array(x, pa.int64()) for x in out[2:])],
                 names=["doc_id", "item_id", "start_word", "n_aligned", "n_equal"])
@@ -182,7 +184,8 @@ def seed_rows(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for at, h in seeds_of(hashed(doc)):
+                found = hashed(doc)
+                for at, h in seeds_of(found) if len(found) >= SHORTEST else ():
                     yield pa.record_batch([pa.array([row] * len(at), pa.int64()), pa.array(h.view(np.int64)), pa.array(at, pa.int64())], names=["row", "seed", "place"])
 
     return rows.select("row", "text").mapInArrow(run, "row long, seed long, place long")

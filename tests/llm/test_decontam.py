@@ -15,13 +15,13 @@ ITEMS = "item_id long, text string"
 def brute(document, item):
     """Whether some diagonal has a segment that counts as a leak, by trying all segments."""
     d, b = words(document), words(item)
-    if len(b) < 7:
+    if len(b) < decontam.SHORTEST:
         return False
     for diagonal in range(-len(b) + 1, len(d)):
         same = [d[p + diagonal] == b[p] if 0 <= p + diagonal < len(d) else None for p in range(len(b))]
         for i in range(len(b)):
             for j in range(i + min(decontam.LEAST, len(b)), len(b) + 1):
-                if None not in same[i:j] and 4 * sum(same[i:j]) >= 3 * (j - i) and sum(same[i:j]) >= 10:
+                if None not in same[i:j] and 4 * sum(same[i:j]) >= 3 * (j - i):
                     return True
     return False
 
@@ -80,22 +80,51 @@ def seeded(pattern):
 
 
 def test_every_accepted_pattern_is_seeded(spark):
-    def grow(pattern, score):  # an accepted segment's score is above nothing at all its places
-        if len(pattern) >= decontam.LEAST and pattern[-1]:
-            assert seeded(pattern), pattern
-            return 1
-        return grow([*pattern, 1], score + 1) + (grow([*pattern, 0], score - decontam.MISS) if score > decontam.MISS else 0)
-
-    assert grow([1], 1) == 40
-    for n in range(7, 17):
-        item = np.arange(1, n + 1, dtype=np.uint64)
-        for k in range(n // 4 + 1):
+    for n in (*range(decontam.SHORTEST, 17), 20):
+        for k in {n // 4} if n > 12 else range(n // 4 + 1):
             for gone in combinations(range(n), k):
-                pattern = [int(i not in gone) for i in range(n)]
-                if decontam.best_segment(item * np.array(pattern, np.uint64), item, 0):
-                    assert seeded(pattern), pattern
-    rows = [(1, [f"a{i}" for i in range(60)], range(4, 60, 5)), (2, [f"b{i}" for i in range(15)], (4, 9))]
+                assert seeded([int(i not in gone) for i in range(n)]), (n, gone)
+    rng = random.Random(2)
+    for _ in range(3000):
+        n = rng.randrange(17, 90)
+        gone = set(rng.sample(range(n), rng.randrange(n // 4 + 1)))
+        assert seeded([int(i not in gone) for i in range(n)]), gone
+    rows = [(1, [f"a{i}" for i in range(60)], range(4, 60, 5)), (2, [f"b{i}" for i in range(15)], (4, 9)), (3, [f"c{i}" for i in range(15)], (12,))]
     documents = [(i, " ".join("zz" if k in gone else w for k, w in enumerate(item))) for i, item, gone in rows]
     benchmark = spark.createDataFrame([(i, " ".join(item)) for i, item, _ in rows], ITEMS)
     got = decontam.leaks(docs(spark, documents), benchmark).collect()
-    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 2)]
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_longest_segment_against_all_segments():
+    rng = random.Random(9)
+    for _ in range(3000):
+        n = rng.randrange(1, 40)
+        same = [rng.random() < 0.75 for _ in range(n)]
+        item = np.arange(1, n + 1, dtype=np.uint64)
+        got = decontam.best_segment(item * np.array(same, np.uint64), item, 0)
+        least = min(decontam.LEAST, n)
+        good = [(j - i, -i) for i in range(n) for j in range(i + least, n + 1) if 4 * sum(same[i:j]) >= 3 * (j - i)]
+        assert (got is None) == (not good)
+        if good:
+            length, i = max(good)
+            a, size, equal = got
+            assert -i <= a and a + size <= -i + length and size >= least and equal == sum(same[a : a + size]) == sum(same[-i : -i + length])
+            assert size == least or (same[a] and same[a + size - 1])
+
+
+def test_random_substitutions_on_both_paths(spark, monkeypatch):
+    rng = random.Random(10)
+    items = [(i, invented(rng, rng.choice([8, 11, 12, 15, 15, 20, 25, 40]), 10**6)) for i in range(60)]
+    rows = []
+    for d in range(240):
+        item = items[d % 60][1].split()
+        for k in rng.sample(range(len(item)), rng.randrange(6)):
+            item[k] = "zz"
+        rows.append((d, " ".join([*invented(rng, rng.randrange(20), 10**6).split(), *item, *invented(rng, rng.randrange(20), 10**6).split()])))
+    want = sorted((d, d % 60) for d, t in rows if brute(t, items[d % 60][1]))
+    assert 100 < len(want) < 240
+    benchmark = spark.createDataFrame([(float(i), t) for i, t in items], "item_id double, text string").selectExpr("cast(item_id as decimal(9,1)) as item_id", "text")
+    for words_sent in (decontam.SENT_WORDS, 0):
+        monkeypatch.setattr(decontam, "SENT_WORDS", words_sent)
+        assert sorted((r.doc_id, int(r.item_id)) for r in decontam.leaks(docs(spark, rows), benchmark).collect()) == want
