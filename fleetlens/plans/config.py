@@ -85,7 +85,8 @@ def cluster_fields(leaves: DataFrame) -> DataFrame:
     ])
 
 
-def _job_leaves(leaves: DataFrame) -> DataFrame:
+def job_leaves(leaves: DataFrame) -> DataFrame:
+    """The leaves below ``/jobs``, with job, section and item out of their paths."""
     return leaves.filter(F.col("path").startswith("/jobs/")).select(
         "doc", tf.pointer_part(F.col("path"), 2).alias("job"),
         tf.pointer_part(F.col("path"), 3).alias("section"),
@@ -96,7 +97,7 @@ def _job_leaves(leaves: DataFrame) -> DataFrame:
 
 def declared_jobs(leaves: DataFrame) -> DataFrame:
     """(cluster, job) of every job section, with or without hosts."""
-    return _job_leaves(leaves).filter(F.col("job") != "").select(F.col("doc").alias("cluster"), "job").distinct()
+    return job_leaves(leaves).filter(F.col("job") != "").select(F.col("doc").alias("cluster"), "job").distinct()
 
 
 def effective_rejects(layer_docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
@@ -121,7 +122,7 @@ def effective_rejects(layer_docs: DataFrame, texts: DataFrame | None = None) ->
 def task_rows(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc, job, task_id, host, agent_port, base_port, attributes) of every ``hosts`` entry;
     the second frame has the entries that do not parse."""
-    hosts = _job_leaves(leaves).filter(
+    hosts = job_leaves(leaves).filter(
         (F.col("section") == "hosts") & (F.col("kind") == "list") & F.col("pos").isNotNull()
     )
     parsed = hosts.select("doc", "job", F.col("value").alias("endpoint"), tf.parse_endpoint(F.col("value")).alias("e"))
@@ -133,7 +134,7 @@ def task_rows(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def file_references(leaves: DataFrame) -> DataFrame:
     """(doc, job, section, item, layer, path) of every ``{file: path}`` that stands for a list."""
-    return _job_leaves(leaves).withColumn("part", tf.pointer_part(F.col("leaf_path"), 5)).filter(
+    return job_leaves(leaves).withColumn("part", tf.pointer_part(F.col("leaf_path"), 5)).filter(
         (F.col("section") == "config") & (F.col("kind") == "scalar") & (F.col("part") == "file")
     ).select("doc", "job", "section", "item", "layer", F.col("value").alias("path"))
 
@@ -141,7 +142,7 @@ def file_references(leaves: DataFrame) -> DataFrame:
 def config_lines(leaves: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """(doc, job, file, layer, pos, line) of every ``config`` entry; an empty file has one row
     with NULL line. ``texts`` (path, value) holds the files that ``{file: path}`` entries name."""
-    listed = _job_leaves(leaves).filter((F.col("section") == "config") & (F.col("kind") == "list")).select(
+    listed = job_leaves(leaves).filter((F.col("section") == "config") & (F.col("kind") == "list")).select(
         "doc", "job", F.col("item").alias("file"), "layer", "pos", F.col("value").alias("line")
     )
     if texts is None:
@@ -157,7 +158,7 @@ def job_files(leaves: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     lines = config_lines(leaves, texts).withColumn("pos", F.coalesce("pos", F.lit(0)))
     own = lines.select("doc", "job", "file", F.lit(0).alias("side"), "layer", "pos", "line")
     # Read from the leaves, so that a job without files of its own inherits too.
-    heirs = _job_leaves(leaves).filter((F.col("section") == "super_job") & (F.col("kind") == "scalar")).select(
+    heirs = job_leaves(leaves).filter((F.col("section") == "super_job") & (F.col("kind") == "scalar")).select(
         "doc", "job", F.col("value").alias("parent")
     )
     inherited = heirs.join(own.withColumnRenamed("job", "parent"), ["doc", "parent"]).select(

@@ -93,6 +93,31 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def read_corpus_lines(spark: SparkSession, root: str) -> DataFrame:
+    """S6 for documents that stand one to a line: (path, project, file, value) of every line that isn't
+    empty. Files are read as text, so one large file is read by many tasks, and none is held whole."""
+    lines = spark.read.text(f"{root.rstrip('/')}/*/*").select(F.col("_metadata.file_path").alias("path"), "value")
+    bare_root = re.sub(r"^[A-Za-z0-9+.-]+:/*", "", root).strip("/")
+    below = F.split(F.substring_index("path", bare_root + "/", -1), "/")
+    return lines.filter((F.size(below) == 2) & (F.col("value") != "")).select(
+        "path", F.get(below, F.lit(0)).alias("project"), F.get(below, F.lit(1)).alias("file"), "value")
+
+
+def list_folders(spark: SparkSession, root: str, depth: int = 2) -> DataFrame:
+    """R2's listing: (path, is_dir, depth, files, bytes, last_modified) of every folder ``depth`` levels below
+    ``root`` that holds a file at any depth.
+
+    Spark lists the tree, in tasks where it is wide; only paths, sizes and times are read, no content.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
+    bare_root = re.sub(r"^[A-Za-z0-9+.-]+:/*", "", root).strip("/")
+    below = F.split(F.substring_index("path", bare_root + "/", -1), "/")
+    folder = F.concat(F.lit(root.rstrip("/") + "/"), F.array_join(F.slice(below, 1, depth), "/"))
+    return files.filter(F.size(below) > depth).groupBy(folder.alias("path")).agg(
+        F.lit(True).alias("is_dir"), F.lit(depth).alias("depth"), F.count("*").alias("files"), F.sum("length").alias("bytes"),
+        F.max("modificationTime").alias("last_modified"))
+
+
 def inventory_rows(docs: DataFrame, value: str = "value") -> DataFrame:
     """Inventory JSON (task label -> program) to one row per program."""
     return docs.select(

@@ -452,6 +452,15 @@ def layer_documents(spark: SparkSession, sf: str) -> DataFrame:
     return near.unionByName(of_nation).unionByName(of_region)
 
 
+def program_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """``layer_documents`` with what a command line takes: properties, class paths, and for four customers in five an entry."""
+    k = F.col("doc")
+    entry = F.when(k % 5 == 0, "").otherwise('"main_entry":{"java_class":" org.x.Main ","extra_args":"start  now "},')
+    more = _text('"super_job":"job_common",', entry, '"classpath":[" lib/* ","","conf"],"jvm_properties":["a=1"," ","k=', k, '"]')
+    return layer_documents(spark, sf).withColumn("value", F.when(
+        F.col("layer") == 0, F.replace("value", F.lit('"super_job":"job_common"'), more)).otherwise(F.col("value")))
+
+
 def chained_documents(spark: SparkSession, sf: str) -> DataFrame:
     """(path, value): a document per customer on chains of 50. The base, named through a variable, is the
     customer before; of the first of 50 it is nothing, the last of the 50 (every seventh chain, a circle),

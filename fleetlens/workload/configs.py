@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from fleetlens import sinks
 from fleetlens.functions import text as tf
 from fleetlens.operators import closure as cl, jobs as jb, layers as ly, templates as tp
-from fleetlens.plans import config as plan
-from fleetlens.session import new_work_dir
+from fleetlens.plans import config as plan, programs
+from fleetlens.session import new_work_dir, stage
 from fleetlens.sources import documents as docs
 from fleetlens.workload import adapters as ad
 from fleetlens.workload.registry import query, table
@@ -513,6 +513,14 @@ def document_rejects(spark, sf):
     return _from_documents(spark, sf)[1]
 
 
+@query("task_commands", """SELECT c_custkey AS doc, 'web' AS job, CAST(i AS BIGINT) AS task_id, CASE WHEN i = 2 THEN 'far' ELSE 'h' || c_custkey END AS host,
+'/usr/bin/java -Xmx' || c_custkey || 'm -server -verbose -ea -Da=1 -Dk=' || c_custkey || ' -cp lib/*:conf' ||
+CASE WHEN c_custkey % 5 > 0 THEN ' org.x.Main start now' ELSE '' END AS args FROM customer, (VALUES (0), (1), (2)) AS v(i) WHERE c_acctbal >= 0""")
+def task_commands(spark, sf):
+    leaves = stage(plan.merged_leaves(ad.program_documents(spark, sf))[0], "merged")
+    return programs.task_commands(leaves).select("doc", "job", "task_id", "host", F.array_join("args", " ").alias("args"))
+
+
 @query("config_corpus_scan", """SELECT 'n' || s_nationkey AS project, s_name AS cluster_name, 's' || s_suppkey AS job,
 'h' || s_suppkey || ':9001/id=0' AS first_host, true AS parsed, count(*) AS documents FROM supplier WHERE s_acctbal >= 0 GROUP BY 1, 2, 3, 4
 UNION ALL SELECT 'n' || s_nationkey AS project, NULL, NULL, NULL, false AS parsed, count(*) AS documents FROM supplier WHERE s_acctbal < 0 GROUP BY 1""")
@@ -526,8 +534,10 @@ def config_corpus_scan(spark, sf):
     )
     root = new_work_dir(spark, "corpus")
     texts = table(spark, sf, "supplier").select(_text("n", F.col("s_nationkey")).alias("project"), value.alias("value"))
-    texts.repartition("project").write.partitionBy("project").text(root)
-    lines = docs.read_corpus(spark, root).select("project", F.explode(F.split("value", "\n")).alias("value")).filter("value != ''")
+    # A project's documents are dealt over some files, however many it has.
+    dealt = texts.repartition("project", F.pmod(F.xxhash64("value"), F.lit(4)))
+    dealt.write.partitionBy("project").text(root)
+    lines = docs.read_corpus_lines(spark, root)
     v = F.try_parse_json("value")
     job = F.get(F.map_keys(F.try_variant_get(v, "$.jobs", "map<string,variant>")), F.lit(0))
     hosts = F.map_values(F.try_variant_get(v, "$.jobs", "map<string,struct<hosts:array<string>>>"))

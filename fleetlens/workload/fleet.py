@@ -320,6 +320,23 @@ def trash_parse(spark, sf):
     return _trash(spark, sf).select("o_orderkey", value.alias("epoch_s"), (value >= 0).alias("is_trash"))
 
 
+@query("trash_folders", """WITH t AS (SELECT 'n' || c_nationkey AS home, CASE WHEN c_acctbal < 0 THEN 'live-' || c_mktsegment
+ELSE 'j.trash.' || lower(c_mktsegment) || '.' || c_nationkey || '.' || CAST(floor(c_acctbal / 1000) AS BIGINT) * 1000 END AS name, c_acctbal FROM customer)
+SELECT 'home=' || home || '/folder=' || name AS folder, CAST(split_part(name, '.', 5) AS BIGINT) AS epoch_s, true AS has_files
+FROM t WHERE c_acctbal >= 0 AND CAST(split_part(name, '.', 5) AS BIGINT) + 3600 <= 8600 GROUP BY 1, 2""")
+def trash_folders(spark, sf):
+    # A tree of folders two levels below a root; a few are no trash. Only the listing is read.
+    root = new_work_dir(spark, "agent")
+    balance = F.col("c_acctbal")
+    name = F.when(balance < 0, _text("live-", F.col("c_mktsegment"))).otherwise(_text(
+        "j.trash.", F.lower("c_mktsegment"), ".", F.col("c_nationkey"), ".", F.floor(balance / 1000).cast("bigint") * 1000))
+    files = table(spark, sf, "customer").select(_text("n", F.col("c_nationkey")).alias("home"), name.alias("folder"), F.col("c_name").alias("value"))
+    files.repartition("home").write.partitionBy("home", "folder").text(root)
+    expired = fl.expired_trash(docs.list_folders(spark, root), F.lit(8600), 3600)
+    return expired.select(
+        F.substring_index("path", "/", -2).alias("folder"), F.col("epoch").alias("epoch_s"), (F.col("files") > 0).alias("has_files"))
+
+
 @query("retention_expired", """SELECT '/agent/c' || o_custkey || '/.trash.j-' || lower(o_orderstatus) || '.' || o_orderkey || '.' ||
 CAST(epoch(o_orderdate) AS BIGINT) AS path, CAST(epoch(o_orderdate) AS BIGINT) AS epoch_s FROM orders
 WHERE o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW' AND epoch(o_orderdate) + 31536000 <= epoch(TIMESTAMP '2000-01-01')""")

@@ -384,3 +384,61 @@ def test_documents_that_cannot_be_loaded(spark):
     }
     layers, _ = plan.document_layers(documents, {"ConfRootDir": F.lit("/etc")})
     assert {(r.layer, r.path) for r in layers.filter("doc = '/a'").collect()} == {(0, "/a"), (1, "/etc/base")}
+
+
+def test_commands_against_brute_force(spark):
+    import random
+
+    from fleetlens.plans import programs
+
+    rng, docs_, want = random.Random(4), [], {}
+    for d in range(12):
+        jobs = {}
+        for j in ("base", "a", "b"):
+            jobs[j] = {"hosts": [f"h{j}:9001/id=1", f"h{j}:9001/id=0"]} | {
+                s: [rng.choice(["x", " y ", "z", "", "w w"]) for _ in range(rng.randrange(5))]
+                for s in ("jvm_opts", "jvm_properties", "classpath") if rng.random() < 0.8}
+            if j != "base" and rng.random() < 0.7:
+                jobs[j]["super_job"] = "base"
+            if rng.random() < 0.6:
+                jobs[j]["main_entry"] = {"java_class": " M ", "extra_args": "a  b"}
+        docs_.append((d, 0, json.dumps({"cluster": {"main_process": "java"}, "jobs": jobs})))
+        for j, job in jobs.items():
+            parent = jobs.get(job.get("super_job"), {})
+            parts = {}
+            for s in ("jvm_opts", "jvm_properties", "classpath"):
+                own = list(job.get(s, []))
+                own += [x for i, x in enumerate(parent.get(s, [])) if x not in own and x not in parent[s][:i]]
+                parts[s] = [x.strip() for x in own if x.strip()]
+            entry = job.get("main_entry")
+            want[d, j] = ["java", *parts["jvm_opts"], *["-D" + x for x in parts["jvm_properties"]],
+                          *(["-cp", ":".join(parts["classpath"])] if parts["classpath"] else []), *(["M", "a", "b"] if entry else [])]
+    leaves, _ = plan.merged_leaves(spark.createDataFrame(docs_, "doc bigint, layer int, value string"))
+    got = {(r.doc, r.job, r.task_id, r.host): r.args for r in programs.task_commands(leaves).collect()}
+    assert got == {(d, j, t, f"h{j}"): args for (d, j), args in want.items() for t in (0, 1)}
+
+
+def test_a_large_corpus_file_is_split(spark, tmp_path):
+    folder = tmp_path / "p1"
+    folder.mkdir()
+    (folder / "big.json").write_text("".join(f'{{"n":{i},"x":"{"y" * 90}"}}\n\n' for i in range(20000)))
+    (folder / "deep").mkdir()
+    (folder / "deep" / "no.json").write_text("{}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "262144")
+    try:
+        lines = docs.read_corpus_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() >= 6
+        assert lines.count() == 20000 and {(r.project, r.file) for r in lines.select("project", "file").distinct().collect()} == {("p1", "big.json")}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_folders_are_listed_without_content(spark, tmp_path):
+    for path in ("a/one.trash.j.1.5/x/y.txt", "a/one.trash.j.1.5/z.txt", "b/live/q.txt", "top.txt", "a/file.txt"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("12345")
+    listed = docs.list_folders(spark, str(tmp_path))
+    got = {(r.path.removeprefix(str(tmp_path)), r.files, r.bytes, r.depth) for r in listed.collect()}
+    assert got == {("/a/one.trash.j.1.5", 2, 10, 2), ("/b/live", 1, 5, 2)}
+    assert "content" not in listed._jdf.queryExecution().executedPlan().toString()
