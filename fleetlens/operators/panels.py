@@ -37,27 +37,17 @@ HOST_PANELS = [
 ]
 HOST_RANGE = "now-5m"
 
-GC_SPACES = ["survivor0", "survivor1", "eden", "old.space"]
-GC_CLASS_SPACES = ["metaspace", "compressed.class.space"]
-
-
-def _space(name: str) -> Panel:
-    metric = f"node.jvm.gc.{name}"
-    return Panel(metric, [Target(f"{metric}.capacity"), Target(f"{metric}.usage")])
-
-
-def _single(name: str, counter: bool) -> Panel:
-    metric = f"node.jvm.gc.{name}"
-    return Panel(metric, [Target(metric, counter=counter)])
-
-
 GC_PANELS = [
-    *[_space(s) for s in GC_SPACES],
-    _single("young.gc.count", True),
-    _single("full.gc.count", True),
-    _single("young.gc.time", False),
-    _single("full.gc.time", False),
-    *[_space(s) for s in GC_CLASS_SPACES],
+    Panel("node.jvm.gc.survivor0", [Target("node.jvm.gc.survivor0.capacity"), Target("node.jvm.gc.survivor0.usage")]),
+    Panel("node.jvm.gc.survivor1", [Target("node.jvm.gc.survivor1.capacity"), Target("node.jvm.gc.survivor1.usage")]),
+    Panel("node.jvm.gc.eden", [Target("node.jvm.gc.eden.capacity"), Target("node.jvm.gc.eden.usage")]),
+    Panel("node.jvm.gc.old.space", [Target("node.jvm.gc.old.space.capacity"), Target("node.jvm.gc.old.space.usage")]),
+    Panel("node.jvm.gc.young.gc.count", [Target("node.jvm.gc.young.gc.count", counter=True)]),
+    Panel("node.jvm.gc.full.gc.count", [Target("node.jvm.gc.full.gc.count", counter=True)]),
+    Panel("node.jvm.gc.young.gc.time", [Target("node.jvm.gc.young.gc.time")]),
+    Panel("node.jvm.gc.full.gc.time", [Target("node.jvm.gc.full.gc.time")]),
+    Panel("node.jvm.gc.metaspace", [Target("node.jvm.gc.metaspace.capacity"), Target("node.jvm.gc.metaspace.usage")]),
+    Panel("node.jvm.gc.compressed.class.space", [Target("node.jvm.gc.compressed.class.space.capacity"), Target("node.jvm.gc.compressed.class.space.usage")]),
 ]
 GC_RANGE = "now-3h"
 

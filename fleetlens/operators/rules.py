@@ -20,11 +20,20 @@ NAMESYSTEM_STATE = "Hadoop:service=NameNode,name=FSNamesystemState"
 DATASET_STATE = "Hadoop:service=DataNode,name=FSDatasetState"
 DATANODE_ACTIVITY = "Hadoop:service=DataNode,name=DataNodeActivity"
 
-PERCENTILES = ["75th_percentile", "90th_percentile", "95th_percentile", "99th_percentile"]
-SERVER_GAUGES = [
+WAL_KEYS = [
+    "SyncTime_num_ops", "SyncTime_75th_percentile", "SyncTime_90th_percentile", "SyncTime_95th_percentile", "SyncTime_99th_percentile",
+    "AppendTime_num_ops", "AppendTime_75th_percentile", "AppendTime_90th_percentile", "AppendTime_95th_percentile", "AppendTime_99th_percentile",
+]
+SERVER_KEYS = [
     "regionCount", "storeCount", "hlogFileCount", "hlogFileSize", "storeFileCount", "memStoreSize",
+    "Mutate_75th_percentile", "Mutate_90th_percentile", "Mutate_95th_percentile", "Mutate_99th_percentile",
+    "Increment_75th_percentile", "Increment_90th_percentile", "Increment_95th_percentile", "Increment_99th_percentile",
+    "FlushTime_75th_percentile", "FlushTime_90th_percentile", "FlushTime_95th_percentile", "FlushTime_99th_percentile",
+    "Delete_75th_percentile", "Delete_90th_percentile", "Delete_95th_percentile", "Delete_99th_percentile",
+    "Get_75th_percentile", "Get_90th_percentile", "Get_95th_percentile", "Get_99th_percentile",
+    "ScanNext_75th_percentile", "ScanNext_90th_percentile", "ScanNext_95th_percentile", "ScanNext_99th_percentile",
+    "Append_75th_percentile", "Append_90th_percentile", "Append_95th_percentile", "Append_99th_percentile",
 ]
-SERVER_OPERATIONS = ["Mutate", "Increment", "FlushTime", "Delete", "Get", "ScanNext", "Append"]
 NAMESYSTEM_KEYS = [
     "MissingBlocks", "CapacityTotal", "CapacityUsed", "CapacityRemaining", "BlocksTotal", "FilesTotal",
 ]
@@ -65,12 +74,10 @@ def _rules() -> list[Rule]:
     def plain(service: str, bean: str, prefix: str, keys: list[str]) -> list[Rule]:
         return [Rule(service, bean, key, prefix + key, 1.0) for key in keys]
 
-    wal_keys = [f"{op}Time_{s}" for op in ("Sync", "Append") for s in ["num_ops", *PERCENTILES]]
-    server_keys = SERVER_GAUGES + [f"{op}_{p}" for op in SERVER_OPERATIONS for p in PERCENTILES]
     return [
         *plain(HBASE, THREADING, "hbase.jvm.", ["ThreadCount"]),
-        *plain(HBASE, WAL, "hbase.regionserver.wal.", wal_keys),
-        *plain(HBASE, SERVER, "hbase.regionserver.", server_keys),
+        *plain(HBASE, WAL, "hbase.regionserver.wal.", WAL_KEYS),
+        *plain(HBASE, SERVER, "hbase.regionserver.", SERVER_KEYS),
         *plain(HDFS, THREADING, "hdfs.jvm.", ["ThreadCount"]),
         *plain(HDFS, NAMESYSTEM, "hdfs.namenode.fs.", NAMESYSTEM_KEYS),
         *plain(HDFS, NAMENODE_ACTIVITY, "hdfs.namenode.activity.", NAMENODE_ACTIVITY_KEYS),
