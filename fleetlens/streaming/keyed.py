@@ -139,3 +139,57 @@ def stream_status(reports: DataFrame, ttl_seconds: int, as_of: Column, root: str
     status_changes(reports.select("key", F.col("seq").cast("bigint").alias("seq"), "ts", "status"), f"{root}/changes", f"{root}/checkpoint", trigger).awaitTermination()
     changes = spark.read.schema("key string, seq bigint, ts timestamp, status string").parquet(f"{root}/changes")
     return current_status(changes, ttl_seconds, as_of)
+
+
+TIMELINE = "key string, seq bigint, at bigint, status string"
+
+
+def status_timeline(reports: DataFrame, ttl_seconds: int, watermark: str = WATERMARK) -> DataFrame:
+    """T6 with timers: (key, ts, seq, status) of every report, in the order of ``seq`` for each key, and Unknown
+    at the instant at which a key's last report became older than the ttl: by a timer, or, if the next
+    report comes in before the watermark has got there, with that one.
+
+    The state of a key is its last report and a timer; both go when the timer fires, so keys that
+    fell silent cost nothing. ``seq`` must not fall as ``ts`` rises. A report later than the watermark
+    is dropped and counted; what else comes out doesn't depend on the micro-batches.
+    """
+    ttl = int(ttl_seconds) * 1_000_000
+
+    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        if state.hasTimedOut:
+            seq, at = state.get
+            out.append((key[0], seq, at + ttl, "Unknown"))
+            state.remove()
+        else:
+            seq, at = state.get if state.exists else (None, None)
+            for r in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
+                if seq is not None and r.seq <= seq:
+                    continue
+                if seq is not None and r.at > at + ttl:
+                    out.append((key[0], seq, at + ttl, "Unknown"))
+                seq, at = int(r.seq), int(r.at)
+                out.append((key[0], seq, at, r.status))
+            due = (at + ttl) // 1000
+            if due > state.getCurrentWatermarkMs():
+                state.update((seq, at))
+                state.setTimeoutTimestamp(due)
+            else:
+                out.append((key[0], seq, at + ttl, "Unknown"))
+                if state.exists:
+                    state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["key", "seq", "at", "status"])
+
+    rows = reports.withWatermark("ts", watermark).select("key", F.col("seq").cast("bigint").alias("seq"), "ts", F.unix_micros("ts").alias("at"), "status")
+    changes = rows.groupBy("key").applyInPandasWithState(follow, TIMELINE, "seq bigint, at bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return changes.select("key", F.timestamp_micros("at").alias("ts"), "seq", "status")
+
+
+def stream_timeline(reports: DataFrame, ttl_seconds: int, root: str | None = None, trigger: dict = AVAILABLE) -> DataFrame:
+    """``status_timeline`` over what is available; called again with ``root`` it goes on."""
+    spark = reports.sparkSession
+    root = root or new_work_dir(spark, "timeline")
+    changes = status_timeline(reports, ttl_seconds)
+    append_table(changes, f"{root}/changes", f"{root}/checkpoint", trigger).awaitTermination()
+    return spark.read.schema(changes.schema).parquet(f"{root}/changes")

@@ -82,17 +82,29 @@ def stream_rate(spark, sf):
     return rates.select("series_key", epoch("ts").alias("ts_s"), r6("rate").alias("rate"))
 
 
-@query("stream_status", """WITH s AS (SELECT 'c' || o_custkey AS key, max(o_orderdate) AS d,
-arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS st FROM orders GROUP BY 1)
-SELECT key, CASE WHEN d < TIMESTAMP '2001-01-01' THEN 'Unknown' WHEN st = 'O' THEN 'Running' ELSE 'Stopped' END AS status FROM s""")
-def stream_status(spark, sf):
-    orders = _table_stream(spark, sf, "orders")
+def _order_reports(spark, sf):
+    """Orders as status reports of their customers, in the order of date and then order key."""
     ts = F.col("o_orderdate").cast("timestamp")
-    reports = orders.select(
+    return _table_stream(spark, sf, "orders").select(
         _text("c", F.col("o_custkey")).alias("key"),
-        # Order by date, then order key.
         (F.datediff(ts, F.lit("1990-01-01").cast("timestamp")).cast("bigint") * F.lit(10**12) + F.col("o_orderkey")).alias("seq"),
         ts.alias("ts"), F.when(F.col("o_orderstatus") == "O", "Running").otherwise("Stopped").alias("status"),
     )
+
+
+@query("stream_timeline", """WITH s AS (SELECT 'c' || o_custkey AS key, o_orderdate AS d, o_orderstatus AS st,
+lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS later FROM orders)
+SELECT key, epoch_us(d) AS ts_us, CASE WHEN st = 'O' THEN 'Running' ELSE 'Stopped' END AS status FROM s
+UNION ALL SELECT key, epoch_us(d + INTERVAL 90 DAY) AS ts_us, 'Unknown' AS status FROM s
+WHERE d + INTERVAL 90 DAY < coalesce(later, (SELECT max(o_orderdate) FROM orders) - INTERVAL 10 MINUTE)""")
+def stream_timeline(spark, sf):
+    found = keyed.stream_timeline(_order_reports(spark, sf), 90 * 86400)
+    return found.select("key", F.unix_micros("ts").alias("ts_us"), "status")
+
+
+@query("stream_status", """WITH s AS (SELECT 'c' || o_custkey AS key, max(o_orderdate) AS d,
+arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS st FROM orders GROUP BY 1)
+SELECT key, CASE WHEN d < TIMESTAMP '2001-01-01' THEN 'Unknown' WHEN st = 'O' THEN 'Running' ELSE 'Stopped' END AS status FROM s""")
+def stream_status(spark, sf):
     as_of = F.lit("2001-01-31").cast("timestamp")
-    return keyed.stream_status(reports, 30 * 86400, as_of).select("key", "status")
+    return keyed.stream_status(_order_reports(spark, sf), 30 * 86400, as_of).select("key", "status")

@@ -123,3 +123,25 @@ def test_work_root_follows_the_session(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         assert work_root(spark) == configured.rstrip("/")
+
+
+def test_silence_is_told_by_timers(spark, rows):
+    parts = [[("a", 10, 1.0, 1), ("b", 20, 1.0, 2)], [("b", 4000, 2.0, 3)], [("a", 8000, 3.0, 4), ("b", 8000, 3.0, 5)], [("c", 50000, 1.0, 6)]]
+    path, table = landing(spark, parts, "t-timers")
+
+    def run(root):
+        stream = sj.read_landing(spark, path, table.schema, max_files=1).select(
+            F.col("series_key").alias("key"), "seq", "ts", F.concat(F.lit("v"), F.col("value").cast("int").cast("string")).alias("status"))
+        return rows(keyed.stream_timeline(stream, 5000, root=root).select("key", F.unix_seconds("ts").alias("s"), "status"))
+
+    root = f"{path}-timers"
+    got = run(root)
+    assert got == sorted([
+        ("a", 10, "v1"), ("b", 20, "v1"), ("b", 4000, "v2"), ("a", 5010, "Unknown"), ("a", 8000, "v3"), ("b", 8000, "v3"),
+        ("a", 13000, "Unknown"), ("b", 13000, "Unknown"), ("c", 50000, "v1")], key=lambda t: tuple((False, str(v)) for v in t))
+    # Going on: an old report is dropped, a new one of a silent key brings it back.
+    for late in (("b", 9000, 7.0, 8), ("b", 60000, 9.0, 9)):
+        spark.createDataFrame([late], SCHEMA).select(
+            "series_key", F.timestamp_seconds("sec").alias("ts"), "value", "seq").coalesce(1).write.mode("append").parquet(path)
+    again = run(root)
+    assert set(again) - set(got) == {("b", 60000, "v9"), ("c", 55000, "Unknown")}
