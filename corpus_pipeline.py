@@ -29,7 +29,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass the base rule and the learned decision list."""
-    counted = rule_lists.statistics(docs)
+    # The rules are learned from the counts that they then judge: the texts are counted once.
+    counted = stage(rule_lists.statistics(docs), "counted")
     added = [c for c in counted.columns if c not in docs.columns]
     labelled = counted.select("doc_id", *rule_lists.BASE, *rule_lists.EXTRA, "base_failed").join(training_labels(spark, sf_dir), "doc_id")
     rules = rule_lists.learn(stage(labelled, "labelled"))
