@@ -17,9 +17,10 @@ components of the links.
    any size with as many pairs as it has members.
 4. Keys that still span several components connect the classes within the signature distance to
    neighbourhoods (again with as many rows as members). Each neighbourhood of several components
-   gets its full sets together, in blocks of BLOCK classes, and every pair across components is
-   compared on them. No link between different texts is lost, and no pair is written out that
-   doesn't unite two components.
+   gets its full sets together, in blocks of BLOCK classes and BLOCK_BYTES, and every pair across
+   components is compared on them. In both steps only classes outside a group's commonest component
+   are held against all others. No link between different texts is lost, and no pair is written out
+   that doesn't unite two components.
 
 The full sets are only made for classes that share a key. Everything is written to the shared
 folder between the steps; nothing but row counts comes to the driver.
@@ -38,7 +39,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.llm.common import WordHashes, mix64, stage, unique_name, window_hashes, words_of
 
@@ -50,6 +51,8 @@ ERRORS = 1
 MOST_DIFFERENT = CHUNKS * (ERRORS + 1) - 1
 FARTHEST = 28
 BLOCK = 2048
+BLOCK_BYTES = 16 << 20
+SALTS = 64
 # One odd multiplier and one offset for each minimum hash, from a fixed seed.
 _DRAWN = np.random.default_rng(20240607).integers(1, 1 << 63, (2, SYMBOLS), dtype=np.uint64)
 MULTIPLIERS, OFFSETS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
@@ -86,19 +89,24 @@ def signature(found: np.ndarray) -> bytes | None:
 
 
 def signed(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(doc_id, n_shingles, node, sig) of every document."""
+    """(doc_id, text_key, n_shingles, node, sig) of every document."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([digest(s) for s in sets], pa.binary()), pa.array([signature(s) for s in sets], pa.binary()),
-            ], names=["doc_id", "n_shingles", "node", "sig"])
+            ], names=["doc_id", "text_key", "n_shingles", "node", "sig"])
+
+    return keyed_texts(docs, text, key).mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, node binary, sig binary")
+
 
+def keyed_texts(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(doc_id, text_key, text): a hash of the text tells apart the texts of a repeated or null id."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, node binary, sig binary")
+    return rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
 
 def keys_of(classes: DataFrame) -> DataFrame:
@@ -137,18 +145,28 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def with_least(rows: DataFrame, by: str, of: str, name: str, spread: str) -> DataFrame:
+    """Adds the least ``of`` of all rows with the same ``by``. A value of ``by`` with very many rows is
+    cut into SALTS parts by ``spread``: no task gets more than a part, or the parts' minima."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    parts = salted.groupBy(by, "salt").agg(F.min(of).alias("part"))
+    whole = parts.groupBy(by).agg(F.min("part").alias(name))
+    return salted.join(parts.select(by, "salt").join(whole, by), [by, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, component) of every node that an edge (a, b) touches: the smallest node reachable.
 
-    Alternating large-star and small-star rounds, each one written out, until nothing changes.
+    Alternating large-star and small-star rounds, each one written out, until nothing changes. A hub
+    has as many edges as its component has nodes, so its least neighbour is found and told in parts.
     """
     current = stage(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
     while True:
         around = current.unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        large = with_least(around, "u", "v", "m", "v").where("v > u").select(
+            F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = with_least(large, "u", "v", "m", "v").select(
+            F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = stage(small.where("u != v").distinct(), label)
         # Both hold an edge once: equal counts and no new edge mean that nothing changed.
         if after.count() == current.count() and after.join(current, ["u", "v"], "left_anti").isEmpty():
@@ -158,15 +176,43 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     return after.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
 
 
-def dealt(members: DataFrame, group: str, columns: list[str]) -> DataFrame:
-    """Members by group, a large group cut into blocks by node and dealt out as pairs of its blocks.
+LEFT, RIGHT, BOTH = 0, 1, 2
 
-    Rows come sorted by (group, x, y); every two members of a group meet in some (x, y).
+
+def dealt(members: DataFrame, group: str, weight: Column, columns: list[str]) -> DataFrame:
+    """The members (node, component, ...) of each group in cells (group, x, y), with the role of each.
+
+    Only pairs of different components matter, and each has a side outside the group's commonest
+    component. So those outside go into blocks x (LEFT), all members into blocks y (RIGHT), and each
+    left block meets each right block in a cell; a group of one cell has its outsiders once (BOTH).
+    Blocks hold about BLOCK members and BLOCK_BYTES of ``weight``. Rows come sorted by cell. Copies grow
+    with members + outsiders * blocks: in proportion as long as the outsiders of a group fit one block.
     """
-    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    own = members.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    placed = own.select(group, *columns, "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other")).select(
-        group, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), *columns)
+    shares = members.groupBy(group, "component").agg(F.count("*").alias("n"), F.sum(weight).alias("bytes"))
+    sizes = shares.groupBy(group).agg(
+        F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all"), F.sum("bytes").alias("all_bytes"),
+        F.max_by("bytes", F.struct("n", "component")).alias("most_bytes"))
+
+    def blocks(n: Column, size: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES))
+
+    sizes = sizes.select(
+        group, F.col("most.component").alias("most"), blocks(F.col("all"), F.col("all_bytes")).alias("rights"),
+        blocks(F.col("all") - F.col("most.n"), F.col("all_bytes") - F.col("most_bytes")).alias("lefts"))
+    known = members.join(sizes, group).withColumn("outside", F.col("component") != F.col("most"))
+    left = F.pmod(F.xxhash64("node", F.lit(1)), F.col("lefts"))
+    right = F.pmod(F.xxhash64("node"), F.col("rights"))
+
+    def cell(x: Column, y: Column, role: Column | int) -> Column:
+        return F.struct(x.alias("x"), y.alias("y"), F.lit(role).alias("role"))
+
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    single = F.array(cell(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.when(F.col("outside"), BOTH).otherwise(RIGHT)))
+    as_right = F.transform(upto("lefts"), lambda x: cell(x, right, RIGHT))
+    as_left = F.when(F.col("outside"), F.transform(upto("rights"), lambda y: cell(left, y, LEFT)))
+    cells = F.when((F.col("lefts") == 1) & (F.col("rights") == 1), single).otherwise(
+        F.concat(as_right, F.coalesce(as_left, F.array().cast("array<struct<x:bigint,y:bigint,role:int>>"))))
+    placed = known.select(group, *columns, F.explode(cells).alias("cell")).select(group, "cell.x", "cell.y", "cell.role", *columns)
     return placed.repartition(group, "x", "y").sortWithinPartitions(group, "x", "y")
 
 
@@ -189,36 +235,45 @@ def pair_rows(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
 
 
-def forest(nodes: list[bytes], sigs: list[bytes]) -> list[tuple[bytes, bytes]]:
-    """A spanning forest of the pairs within the signature distance."""
-    sig = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, SYMBOLS)
-    left, found = np.arange(len(nodes)), []
-    while len(left):
+def forest(roles: list[int], nodes: list[bytes], sigs: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the pairs of a left and a right member within the signature distance."""
+    sig, role = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, SYMBOLS), np.array(roles)
+    left, right = np.flatnonzero(role != RIGHT), np.flatnonzero(role != LEFT)
+    found = []
+    while len(left) and len(right):
         queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
+        if role[queue[0]] == BOTH:
+            right = right[right != queue[0]]
+        while queue:
             i = queue.pop()
-            near = (sig[left] != sig[i]).sum(1) <= FARTHEST
-            found += [(nodes[i], nodes[j]) for j in left[near].tolist()]
-            queue += left[near].tolist()
-            left = left[~near]
+            near = np.zeros(0, int)
+            if role[i] != RIGHT:
+                near = right[(sig[right] != sig[i]).sum(1) <= FARTHEST]
+            if role[i] != LEFT:
+                near = np.union1d(near, left[(sig[left] != sig[i]).sum(1) <= FARTHEST])
+            found += [(nodes[i], nodes[j]) for j in near.tolist()]
+            queue += near.tolist()
+            left, right = left[~np.isin(left, near)], right[~np.isin(right, near)]
     return found
 
 
 def neighbourhoods(members: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all classes which lie within the signature distance and share a key."""
+    """Edges (a, b) that connect all classes of different components which lie within the signature
+    distance and share a key; ``members`` has (key, node, component, sig)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, sigs in runs(batches, 3):
-            if len(nodes) > 1:
-                yield pair_rows(forest(nodes, sigs))
+        for columns in runs(batches, 3):
+            yield pair_rows(forest(*columns))
 
-    return dealt(members, "key", ["node", "sig"]).mapInArrow(run, "a binary, b binary").distinct()
+    cells = dealt(members, "key", F.lit(0), ["node", "sig"])
+    return cells.mapInArrow(run, "a binary, b binary").where("a != b").distinct()
 
 
-def exact_links(nodes: list[bytes], components: list[bytes], raw: list[bytes]) -> list[tuple[bytes, bytes]]:
-    """Links between different components on the full sets, as many as it takes to unite what is linked."""
+def exact_links(roles: list[int], nodes: list[bytes], components: list[bytes], raw: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """Links of left members to right ones of other components on the full sets, as many as it takes
+    to unite what is linked."""
     names: dict[bytes, int] = {}
-    component = np.array([names.setdefault(c, len(names)) for c in components])
+    component, role = np.array([names.setdefault(c, len(names)) for c in components]), np.array(roles)
     if len(names) < 2:
         return []
     sets = [np.frombuffer(r, np.uint64) for r in raw]
@@ -229,16 +284,12 @@ def exact_links(nodes: list[bytes], components: list[bytes], raw: list[bytes]) -
     first = np.r_[0, np.cumsum(np.bincount(token, minlength=len(values)))]
     start = np.r_[0, np.cumsum(sizes)]
     found = []
-    # Every pair across components has a side outside the one that is largest at the start.
-    anchor = int(np.flatnonzero(component == np.bincount(component).argmax())[0])
-    for i in np.flatnonzero(component != component[anchor]).tolist():
-        if component[i] == component[anchor]:
-            continue  # united with it meanwhile
+    for i in np.flatnonzero(role != RIGHT).tolist():
         mine = token[start[i] : start[i + 1]]
         lengths = first[mine + 1] - first[mine]
         places = np.repeat(first[mine] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
         common = np.bincount(holders[places], minlength=len(sets))
-        linked_to = (100 * common >= PERCENT * (sizes + sizes[i] - common)) & (component != component[i])
+        linked_to = (100 * common >= PERCENT * (sizes + sizes[i] - common)) & (component != component[i]) & (role != LEFT)
         for j in np.flatnonzero(linked_to).tolist():
             if component[j] != component[i]:
                 found.append((nodes[i], nodes[j]))
@@ -256,21 +307,22 @@ def across(members: DataFrame) -> DataFrame:
             if found:
                 yield pair_rows(found)
 
-    return dealt(members, "neighbourhood", ["node", "component", "set"]).mapInArrow(run, "a binary, b binary")
+    cells = dealt(members, "neighbourhood", F.octet_length("set"), ["node", "component", "set"])
+    return cells.mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document."""
     rows = stage(signed(docs, text, key), "signed")
     classes = rows.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
-    classes = stage(classes, "classes")
+        F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")).alias("source"), F.first("sig").alias("sig"))
+    classes = stage(classes.select("node", F.col("source.doc_id").alias("least"), "source.text_key", "sig"), "classes")
     keys = keys_of(classes)
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("members")).where("members > 1")
     members = stage(keys.join(shared, "key").select("key", "node", "first"), "members")
 
     touched = members.select("node").distinct()
-    sources = classes.join(touched, "node", "left_semi").select("node", F.col("least").alias("doc_id"))
+    sources = classes.join(touched, "node", "left_semi").select("node", F.col("least").alias("doc_id"), "text_key")
     sets = stage(set_table(docs, sources, text, key), "sets")
 
     sig = classes.select("node", "sig")
@@ -282,7 +334,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     known = members.select("key", "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    open_keys = known.join(mixed, "key", "left_semi").join(sig, "node").select("key", "node", "sig")
+    open_keys = known.join(mixed, "key", "left_semi").join(sig, "node").select("key", "node", "component", "sig")
     around = components(stage(neighbourhoods(open_keys), "near"), "around").withColumnRenamed("component", "neighbourhood")
     within = around.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = within.groupBy("neighbourhood").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("neighbourhood")
@@ -291,8 +343,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     final = components(links.unionAll(more), "final")
 
     named = classes.join(final, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = named.join(smallest, "component").select("node", "component_id")
+    of_class = with_least(named, "component", "least", "component_id", "node").select("node", "component_id")
     alone = rows.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = rows.where("node IS NOT NULL").join(of_class, "node").select("doc_id", "n_shingles", "component_id").unionAll(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
@@ -315,13 +366,14 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
 def set_table(docs: DataFrame, sources: DataFrame, text: str, key: str) -> DataFrame:
     """(node, set): the full sets of the given classes, made again from one text of each."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    texts = rows.join(sources, F.equal_null(rows["doc_id"], sources["doc_id"])).select("node", "text")
+    rows = keyed_texts(docs, text, key)
+    same = F.equal_null(rows["doc_id"], sources["doc_id"]) & (rows["text_key"] == sources["text_key"])
+    texts = rows.join(sources, same).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            whose = [digest(s) == n for s, n in zip(sets, batch.column(0).to_pylist())]  # an id may have several texts
+            whose = [digest(s) == n for s, n in zip(sets, batch.column(0).to_pylist())]  # two texts may have one hash
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"]).filter(pa.array(whose, pa.bool_()))
 

@@ -117,4 +117,85 @@ def test_borderline_pair_beyond_the_pigeonhole_is_linked(spark):
     assert sum(a != b for a, b in zip(*(np.frombuffer(s, "<u2") for s in sigs))) == near_dedup.MOST_DIFFERENT + 1
     assert brute(rows) == {0: 0, 1: 0}
     assert {r.component_id for r in near_dedup.near_duplicates(docs(spark, rows)).collect()} == {0}
-    assert near_dedup.forest([b"a", b"b"], sigs) == [(b"a", b"b")]
+    assert near_dedup.forest([near_dedup.BOTH, near_dedup.RIGHT], [b"a", b"b"], sigs) == [(b"a", b"b")]
+
+
+@pytest.mark.parametrize("role", ["both", "split"])
+def test_forest_connects_what_is_near(role):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sigs = []
+    for _ in range(6):  # chains of signatures, neighbours 20 symbols apart
+        sig = rng.integers(0, 1 << 16, near_dedup.SYMBOLS, dtype=np.uint16)
+        for _ in range(5):
+            sigs.append(sig.tobytes())
+            sig = sig.copy()
+            sig[rng.choice(near_dedup.SYMBOLS, 20, replace=False)] ^= 7
+    nodes = [f"{i:02d}".encode() for i in range(len(sigs))]
+    outside = [i % 5 in (1, 3) for i in range(len(sigs))]
+    if role == "both":
+        roles = [near_dedup.BOTH if o else near_dedup.RIGHT for o in outside]
+    else:
+        roles = [near_dedup.RIGHT] * len(sigs) + [near_dedup.LEFT] * sum(outside)
+        nodes += [n for n, o in zip(nodes, outside) if o]
+        sigs += [s for s, o in zip(sigs, outside) if o]
+    found = near_dedup.forest(roles, nodes, sigs)
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in found:
+        root[find(a)] = find(b)
+    assert len({find(n) for n in nodes}) == 6
+
+
+def test_many_texts_under_one_null_id(spark):
+    rng = random.Random(9)
+    rows = [(None, invented(rng, 30, 10**6)) for _ in range(1500)]
+    rows += [(None, edited(rng, t, 1)) for _, t in rows[:1500]]
+    table = docs(spark, rows)
+    signed = near_dedup.signed(table, "text", "doc_id")
+    classes = signed.select("node", "doc_id", "text_key").distinct()
+    assert near_dedup.set_table(table, classes, "text", "doc_id").count() == 3000
+    own = near_dedup.keyed_texts(table, "text", "doc_id").alias("r")
+    joined = own.join(classes.alias("c"), F.expr("r.doc_id <=> c.doc_id AND r.text_key = c.text_key"))
+    assert joined.count() == 3000  # a text meets its own class alone
+    half = [(shingles(a), shingles(b)) for (_, a), (_, b) in zip(rows[:1500], rows[1500:])]
+    linked = sum(100 * len(a & b) >= 75 * len(a | b) for a, b in half)
+    assert 0 < linked < 1500
+    assert near_dedup.keep_one(table).count() == 3000 - linked
+
+
+@pytest.mark.parametrize("bound", ["members", "bytes"])
+def test_cells_hold_every_pair_across_components_in_bounded_blocks(spark, monkeypatch, bound):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8 if bound == "members" else 10**6)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 8 * 16 if bound == "bytes" else 1 << 30)
+    rows = [("g", f"n{i:03d}".encode(), b"big" if i % 8 else f"c{i % 3}".encode(), b"x" * 16) for i in range(200)]
+    rows += [("h", b"a", b"c1", b"y" * 16), ("h", b"b", b"c2", b"y" * 16)]
+    members = spark.createDataFrame(rows, "grp string, node binary, component binary, set binary")
+    placed = near_dedup.dealt(members, "grp", F.octet_length("set"), ["node", "component"]).collect()
+    cells = {}
+    for r in placed:
+        cells.setdefault((r.grp, r.x, r.y), []).append(r)
+    met = {
+        (g, *sorted((bytes(a.node), bytes(b.node)))) for (g, _, _), held in cells.items()
+        for a in held for b in held if a.role != near_dedup.RIGHT and b.role != near_dedup.LEFT and a.component != b.component}
+    of = {}
+    for g, node, component, _ in rows:
+        of.setdefault(g, []).append((node, component))
+    assert met == {(g, *sorted((a, b))) for g, held in of.items() for a, p in held for b, q in held if p != q}
+    assert max(map(len, cells.values())) < 40
+    # 200 members: the 25 outsiders make 4 left blocks, all make 25 right ones
+    assert len(placed) == 200 * 4 + 25 * 25 + 2
+
+
+def test_a_large_star_is_one_component(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SALTS", 4)
+    edges = [(b"hub", f"n{i:04d}".encode()) for i in range(3000)] + [(b"n0007", b"aaa"), (b"x", b"y"), (b"z", b"y")]
+    got = near_dedup.components(spark.createDataFrame(edges, "a binary, b binary"), "star").collect()
+    assert len(got) == 3002 + 3
+    assert {bytes(r.component) for r in got} == {b"aaa", b"x"}
