@@ -52,7 +52,6 @@ MOST_DIFFERENT = CHUNKS * (ERRORS + 1) - 1
 FARTHEST = 28
 BLOCK = 2048
 BLOCK_BYTES = 16 << 20
-SALTS = 64
 # One odd multiplier and one offset for each minimum hash, from a fixed seed.
 _DRAWN = np.random.default_rng(20240607).integers(1, 1 << 63, (2, SYMBOLS), dtype=np.uint64)
 MULTIPLIERS, OFFSETS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
@@ -145,28 +144,20 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def with_least(rows: DataFrame, by: str, of: str, name: str, spread: str) -> DataFrame:
-    """Adds the least ``of`` of all rows with the same ``by``. A value of ``by`` with very many rows is
-    cut into SALTS parts by ``spread``: no task gets more than a part, or the parts' minima."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
-    parts = salted.groupBy(by, "salt").agg(F.min(of).alias("part"))
-    whole = parts.groupBy(by).agg(F.min("part").alias(name))
-    return salted.join(parts.select(by, "salt").join(whole, by), [by, "salt"]).drop("salt")
-
-
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, component) of every node that an edge (a, b) touches: the smallest node reachable.
 
     Alternating large-star and small-star rounds, each one written out, until nothing changes. A hub
-    has as many edges as its component has nodes, so its least neighbour is found and told in parts.
+    has as many edges as its component has nodes; its least neighbour is combined before the shuffle,
+    and the join that tells it is left to Spark, which splits a skewed key by size.
     """
     current = stage(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
     while True:
         around = current.unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_least(around, "u", "v", "m", "v").where("v > u").select(
-            F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        small = with_least(large, "u", "v", "m", "v").select(
-            F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = stage(small.where("u != v").distinct(), label)
         # Both hold an edge once: equal counts and no new edge mean that nothing changed.
         if after.count() == current.count() and after.join(current, ["u", "v"], "left_anti").isEmpty():
@@ -343,7 +334,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     final = components(links.unionAll(more), "final")
 
     named = classes.join(final, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    of_class = with_least(named, "component", "least", "component_id", "node").select("node", "component_id")
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_class = named.join(smallest, "component").select("node", "component_id")
     alone = rows.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = rows.where("node IS NOT NULL").join(of_class, "node").select("doc_id", "n_shingles", "component_id").unionAll(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

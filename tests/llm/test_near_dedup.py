@@ -193,8 +193,7 @@ def test_cells_hold_every_pair_across_components_in_bounded_blocks(spark, monkey
     assert len(placed) == 200 * 4 + 25 * 25 + 2
 
 
-def test_a_large_star_is_one_component(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SALTS", 4)
+def test_a_large_star_is_one_component(spark):
     edges = [(b"hub", f"n{i:04d}".encode()) for i in range(3000)] + [(b"n0007", b"aaa"), (b"x", b"y"), (b"z", b"y")]
     got = near_dedup.components(spark.createDataFrame(edges, "a binary, b binary"), "star").collect()
     assert len(got) == 3002 + 3
