@@ -162,12 +162,13 @@ LEAF = "struct<path:string,kind:string,pos:bigint,value:string>"
 LEVELS = 6  # levels opened in one row stream; deeper trees take another round
 
 
-def flatten_documents(docs: DataFrame, value: str = "value") -> DataFrame:
+def flatten_documents(docs: DataFrame, value: str = "value", typed: bool = False) -> DataFrame:
     """JSON documents to rows (path, kind, pos, value).
 
     ``kind`` is map (one row for each interior map), list (one row for each element, or one
     with NULL pos when empty), scalar or null. Paths are JSON pointers. A list element that is
     neither a string nor an integer, and a text that is no JSON, give a row of kind ``error``.
+    With ``typed`` only strings are of kind scalar; numbers and booleans are of kind other.
 
     Each level is an explode of the level above in the same row stream, so nothing is shuffled.
     After LEVELS levels the rows are written out, and the subtrees that are still closed are
@@ -177,7 +178,7 @@ def flatten_documents(docs: DataFrame, value: str = "value") -> DataFrame:
     closed = docs.select(*keep, F.lit("").alias("path"), F.try_parse_json(value).alias("v"))
     done = None
     while True:
-        rows = stage(_open_levels(closed, keep), "levels")
+        rows = stage(_open_levels(closed, keep, typed), "levels")
         leaves = rows.filter(F.col("rest").isNull()).select(*keep, "leaf.path", "leaf.kind", "leaf.pos", "leaf.value")
         done = leaves if done is None else done.unionByName(leaves)
         deeper = rows.filter(F.col("rest").isNotNull())
@@ -186,12 +187,13 @@ def flatten_documents(docs: DataFrame, value: str = "value") -> DataFrame:
         closed = deeper.select(*keep, "path", F.parse_json("rest").alias("v"))
 
 
-def _open_levels(closed: DataFrame, keep: list[Column]) -> DataFrame:
+def _open_levels(closed: DataFrame, keep: list[Column], typed: bool = False) -> DataFrame:
     """(keep..., path, leaf, rest): finished rows in ``leaf``, or the JSON text of a closed subtree."""
     # The kind of a variant is the leading word of its schema.
     def kind_of(v: Column) -> Column:
         return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
+    plain = F.when(F.col("k") == "STRING", "scalar").otherwise("other") if typed else F.lit("scalar")
     rows = closed.select(*keep, "path", "v", F.lit(None).cast(LEAF).alias("leaf"))
     for _ in range(LEVELS):
         is_open = F.col("leaf").isNull()
@@ -238,7 +240,7 @@ def _open_levels(closed: DataFrame, keep: list[Column]) -> DataFrame:
             )
             .when(F.col("v").isNull(), F.array(leaf(F.lit("error"), none_pos, F.lit("not JSON"))))
             .when(F.col("k") == "VOID", F.array(leaf(F.lit("null"), none_pos, none_text)))
-            .otherwise(F.array(leaf(F.lit("scalar"), none_pos, F.col("v").cast("string"))))
+            .otherwise(F.array(leaf(plain, none_pos, F.col("v").cast("string"))))
         )
         rows = rows.select(*keep, F.explode(opened).alias("n")).select(*keep, "n.path", "n.v", "n.leaf")
     return rows.select(*keep, "path", "leaf", F.when(F.col("leaf").isNull(), F.to_json("v")).alias("rest"))

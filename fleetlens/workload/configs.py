@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetlens import sinks
 from fleetlens.functions import text as tf
 from fleetlens.operators import closure as cl, jobs as jb, layers as ly, templates as tp
-from fleetlens.plans import config as plan, programs
+from fleetlens.plans import config as plan, programs, validation
 from fleetlens.session import new_work_dir, stage
 from fleetlens.sources import documents as docs
 from fleetlens.workload import adapters as ad
@@ -403,6 +403,43 @@ def doc_validate(spark, sf):
     )
 
 
+_FAULTS = {
+    "": [("c_acctbal > 9500", "not JSON")],
+    "/base": [("c_custkey % 7 = 1", "not a string")],
+    "/cluster": [("c_custkey % 11 = 2", "missing")],
+    "/cluster/package_md5sum": [("c_custkey % 11 <> 2 AND c_custkey % 3 = 0", "missing")],
+    "/cluster/main_process": [("c_custkey % 11 <> 2 AND c_custkey % 4 = 0", "not a string")],
+    "/jobs/web": [("c_custkey % 13 = 5", "not a map")],
+    "/jobs/zk/hosts": [("c_custkey % 5 = 0", "an element is neither a string nor an integer")],
+    "/jobs/zk/classpath/file": [("c_custkey % 6 = 1", "missing")],
+    "/jobs/zk/jvm_opts": [("c_custkey % 8 = 3", "not a list")],
+    "/jobs/zk/main_entry/java_class": [("c_custkey % 9 = 4", "not a string")],
+    "/jobs/zk/config/a~1b.cfg": [("c_custkey % 10 = 6", "not a list")],
+}
+
+
+@query("doc_validate_all", " UNION ALL ".join(
+    f"""SELECT c_custkey AS doc, '{path}' AS path, '{reason}' AS reason FROM customer
+WHERE {condition}{" AND c_acctbal <= 9500" if path else ""}""" for path, faults in _FAULTS.items() for condition, reason in faults))
+def doc_validate_all(spark, sf):
+    k = F.col("c_custkey")
+
+    def at(divisor, rest, broken, sound):
+        return F.when(k % divisor == rest, broken).otherwise(sound)
+
+    cluster = _text(
+        '"cluster":{"project":"p","cluster_name":"', F.col("c_name"), '","package_name":"x","main_process":', at(4, 0, "7", '"java"'),
+        ',"package_md5sum":', at(3, 0, "null", '"d4"'), "},",
+    )
+    value = _text(
+        F.when(F.col("c_acctbal") > 9500, "{").otherwise(""), '{"base":', at(7, 1, "[1]", "null"), ",", at(11, 2, "", cluster),
+        '"jobs":{"web":', at(13, 5, "null", "{}"), ',"zk":{"hosts":["h', k, '",', at(5, 0, "{}", "1"), '],"classpath":',
+        at(6, 1, "{}", '{"file":"paths.txt"}'), ',"jvm_opts":', at(8, 3, '"-ea"', "[]"), ',"main_entry":{"java_class":', at(9, 4, "true", '"org.x.Main"'),
+        '},"config":{"a/b.cfg":', at(10, 6, "1", '["a=1","b=2"]'), ',"none.cfg":null}}}}',
+    )
+    return validation.validate_documents(table(spark, sf, "customer").select(k.alias("doc"), value.alias("value")))
+
+
 def _effective(spark, sf):
     none = spark.createDataFrame([], "cluster bigint, ordinal bigint, dep_cluster bigint")
     return plan.effective_config(ad.layer_documents(spark, sf), none, "/agent")

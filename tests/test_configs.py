@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import ordered
 from fleetlens.operators import jobs as jb, layers as ly, templates as tp
-from fleetlens.plans import config as plan
+from fleetlens.plans import config as plan, validation
 from fleetlens.sources import documents as docs
 
 
@@ -442,3 +442,37 @@ def test_folders_are_listed_without_content(spark, tmp_path):
     got = {(r.path.removeprefix(str(tmp_path)), r.files, r.bytes, r.depth) for r in listed.collect()}
     assert got == {("/a/one.trash.j.1.5", 2, 10, 2), ("/b/live", 1, 5, 2)}
     assert "content" not in listed._jdf.queryExecution().executedPlan().toString()
+
+
+def faults(spark, *values):
+    df = spark.createDataFrame([(i, v if isinstance(v, str) else json.dumps(v)) for i, v in enumerate(values)], "doc int, value string")
+    return sorted((r["doc"], r["path"], r["reason"]) for r in validation.validate_documents(df).collect())
+
+
+def test_validation_lists_every_fault_of_a_document(spark):
+    cluster = {name: "x" for name in ly.REQUIRED_FIELDS}
+    good = {"base": None, "cluster": {**cluster, "dependencies": 7}, "jobs": {
+        "j": {"hosts": ["h:1/id=0", 5], "hooks": [1], "config": {"a": ["k=v"], "none": None, "file": {"file": "f"}}, "main_entry": {"java_class": None}},
+        "empty": {}}}
+    assert faults(spark, good) == []
+    bad = {"base": 1, "cluster": {**cluster, "project": None, "main_process": True}, "jobs": {
+        "~/": None, "j": {"super_job": [], "hosts": ["h", None, 1.5], "classpath": {"file": 3}, "jvm_properties": {}, "config": [], "main_entry": "x"},
+        "k": {"config": {"f/g": 1, "h": {"no": "file"}}, "main_entry": {"extra_args": ["a"]}}}}
+    element = "an element is neither a string nor an integer"
+    assert faults(spark, bad) == sorted((0, path, reason) for path, reason in [
+        ("/base", "not a string"), ("/cluster/project", "missing"), ("/cluster/main_process", "not a string"), ("/jobs/~0~1", "not a map"),
+        ("/jobs/j/super_job", "not a string"), ("/jobs/j/hosts", element), ("/jobs/j/classpath/file", "not a string"),
+        ("/jobs/j/jvm_properties/file", "missing"), ("/jobs/j/config", "not a map"), ("/jobs/j/main_entry", "not a map"),
+        ("/jobs/k/config/f~1g", "not a list"), ("/jobs/k/config/h/file", "missing"), ("/jobs/k/main_entry/extra_args", "not a string")])
+    # Below what is no map nothing is missed.
+    assert faults(spark, "{", "[1]", {}, {"cluster": [], "jobs": 1}, "null") == [
+        (0, "", "not JSON"), (1, "", "not a map"), (2, "/cluster", "missing"), (2, "/jobs", "missing"),
+        (3, "/cluster", "not a map"), (3, "/jobs", "not a map"), (4, "", "not a map")]
+
+
+def test_first_fault_agrees_with_the_document_check(spark):
+    cluster = {name: "x" for name in ly.REQUIRED_FIELDS}
+    values = [{"cluster": cluster, "jobs": {}}, {"cluster": {}, "jobs": {}}, {"cluster": cluster}, {"base": 2, "cluster": cluster, "jobs": {}}]
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "doc int, value string")
+    first = {r["doc"] for r in ly.validate_clusters(df).filter("reason IS NOT NULL").collect()}
+    assert {doc for doc, _, _ in faults(spark, *values)} == first == {1, 2, 3}
