@@ -144,27 +144,33 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every edge (u, v), u > v, leads straight to its component's least node: no node has two
+    smaller neighbours, and none has both a smaller and a larger one."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionAll(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    degrees = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return degrees.where("below > 1 OR (below = 1 AND above = 1)").isEmpty()
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, component) of every node that an edge (a, b) touches: the smallest node reachable.
 
-    Alternating large-star and small-star rounds, each one written out, until nothing changes. A hub
-    has as many edges as its component has nodes; its least neighbour is combined before the shuffle,
-    and the join that tells it is left to Spark, which splits a skewed key by size.
+    Alternating large-star and small-star rounds, each one written out, until only stars are left.
+    Both keep what is connected, so the stars are the components. In the first step an edge learns the
+    least neighbour of its smaller end, for which smaller neighbours are enough; these are combined
+    before the shuffle. A hub has as many edges as its component has nodes, and the join by the smaller
+    end is left to Spark, which splits a skewed key by size.
     """
     current = stage(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
-    while True:
-        around = current.unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    while not are_stars(current):
+        below = current.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = current.join(below, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        after = stage(small.where("u != v").distinct(), label)
-        # Both hold an edge once: equal counts and no new edge mean that nothing changed.
-        if after.count() == current.count() and after.join(current, ["u", "v"], "left_anti").isEmpty():
-            break
-        current = after
-    roots = after.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return after.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
+        current = stage(small.distinct(), label)
+    roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
 
 
 LEFT, RIGHT, BOTH = 0, 1, 2
@@ -331,7 +337,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     several = within.groupBy("neighbourhood").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("neighbourhood")
     open_sets = within.join(several, "neighbourhood", "left_semi").join(sets, "node")
     more = stage(across(open_sets.select("neighbourhood", "node", "component", "set")), "more")
-    final = components(links.unionAll(more), "final")
+    # What the first components say is enough of their links: without further ones they are stars already.
+    stars = first.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    final = components(stars.unionAll(more), "final")
 
     named = classes.join(final, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))

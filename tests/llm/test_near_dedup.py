@@ -198,3 +198,34 @@ def test_a_large_star_is_one_component(spark):
     got = near_dedup.components(spark.createDataFrame(edges, "a binary, b binary"), "star").collect()
     assert len(got) == 3002 + 3
     assert {bytes(r.component) for r in got} == {b"aaa", b"x"}
+
+
+@pytest.mark.parametrize("seed, nodes, edges", [(1, 60, 40), (2, 200, 230), (3, 12, 60)])
+def test_components_of_random_graphs(spark, seed, nodes, edges):
+    rng = random.Random(seed)
+    pairs = [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(edges)]
+    root = list(range(nodes))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    touched = {x for pair in pairs if pair[0] != pair[1] for x in pair}
+    name = lambda i: i.to_bytes(2, "big")
+    table = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], "a binary, b binary")
+    got = near_dedup.components(table, "graph").collect()
+    assert len(got) == len(touched)
+    assert {bytes(r.node): bytes(r.component) for r in got} == {name(i): name(find(i)) for i in touched}
+
+
+def test_components_of_a_long_path_and_of_nothing(spark):
+    name = lambda i: i.to_bytes(2, "big")
+    order = list(range(70))
+    random.Random(9).shuffle(order)
+    path = spark.createDataFrame([(name(a), name(b)) for a, b in zip(order, order[1:])], "a binary, b binary")
+    assert {bytes(r.component) for r in near_dedup.components(path, "path").collect()} == {name(0)}
+    assert near_dedup.components(path.limit(0), "none").isEmpty()
