@@ -129,8 +129,14 @@ def region_points(regions: DataFrame) -> DataFrame:
     )
 
 
-def service_points(beans: DataFrame, service: str) -> DataFrame:
-    """Rule points and region points together: every bean entry is exploded once."""
+ENTRY_COLUMNS = ["cluster", "job", "host", "port", "ts", "metric", "namespace", "table", "region", "region_metric", "value"]
+
+
+def service_entries(beans: DataFrame, service: str) -> DataFrame:
+    """Whitelisted and region keys of all beans as plain columns; every bean entry is exploded once.
+
+    A rule entry has a metric, a region entry has namespace, table, region and region_metric.
+    """
     entries = src.bean_entries(rl.route_beans(beans, service))
     rules = rl.rule_table(beans.sparkSession)
     ruled = entries.join(F.broadcast(rules), ["service", "bean_class", "key"], "left")
@@ -139,22 +145,34 @@ def service_points(beans: DataFrame, service: str) -> DataFrame:
         (F.col("bean_class") == rl.REGIONS) & key.contains("Namespace_")
         & (F.size(F.regexp_extract_all(key, F.lit(REGION_PATTERN), F.lit(0))) == 1)
     )
-    parts = F.when(one_region, F.struct(*[
-        F.regexp_extract(key, REGION_PATTERN, i + 1).alias(name)
-        for i, name in enumerate(["namespace", "table", "region", "metric"])
+    names = ["namespace", "table", "region", "region_metric"]
+    parts = F.when(one_region & F.col("metric").isNull(), F.struct(*[
+        F.regexp_extract(key, REGION_PATTERN, i + 1).alias(name) for i, name in enumerate(names)
     ]))
     rows = ruled.withColumn("r", parts)
-    listed = F.col("r.metric").isin(rl.REGION_METRICS)
-    metric = F.coalesce(
-        F.col("metric"), F.when(listed, F.concat(F.lit("hbase.regionserver.regions."), F.col("r.metric")))
+    listed = F.coalesce(F.col("r.region_metric").isin(rl.REGION_METRICS), F.lit(False))
+    value = F.col("raw").try_cast("double") / F.coalesce("divisor", F.lit(1.0))
+    return rows.filter(F.col("metric").isNotNull() | listed).select(
+        "cluster", "job", "host", "port", "ts", "metric", *[F.col(f"r.{name}").alias(name) for name in names], value.alias("value"),
+    ).filter(F.col("value").isNotNull())
+
+
+def entry_points(entries: DataFrame, *extra) -> DataFrame:
+    """Rule and region entries as points."""
+    is_region = F.col("region_metric").isNotNull()
+    tags = F.create_map(
+        F.lit("regions"), F.col("region"), F.lit("namespace"), F.col("namespace"), F.lit("table"), F.col("table"),
     )
-    extra = F.create_map(
-        F.lit("regions"), F.col("r.region"), F.lit("namespace"), F.col("r.namespace"),
-        F.lit("table"), F.col("r.table"),
+    metric = F.coalesce(F.col("metric"), F.concat(F.lit("hbase.regionserver.regions."), "region_metric"))
+    return make_points(
+        entries, metric, F.col("ts"), F.col("value"),
+        F.when(is_region, pf.merge_tags(tags, _service_tags())).otherwise(_service_tags()), *extra,
     )
-    tags = F.when(listed, pf.merge_tags(extra, _service_tags())).otherwise(_service_tags())
-    value = F.col("raw").try_cast("double") / F.coalesce("divisor", F.lit(1.0))
-    return make_points(rows.filter(metric.isNotNull()), metric, F.col("ts"), value, tags)
+
+
+def service_points(beans: DataFrame, service: str) -> DataFrame:
+    """Rule points and region points together."""
+    return entry_points(service_entries(beans, service))
 
 
 # -- host snapshots -------------------------------------------------------------------
