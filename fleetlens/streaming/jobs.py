@@ -58,13 +58,18 @@ def region_rollup(
     scrape: Sequence[str] = ("cluster", "job", "host", "port"),
     watermark: str = WATERMARK,
 ) -> DataFrame:
-    """T4: the roll-up of each closed window; one stateful aggregate with three grouping sets."""
-    windowed = regions.withWatermark("ts", watermark).withColumn("w", F.window("ts", interval))
-    base = ["w", *scrape, "region_metric"]
-    grouped = windowed.groupingSets(
+    """T4: the roll-up of each closed window, in two stateful aggregates: region rows are summed to
+    tables once, and the grouping sets run over what the first one emits when a window closes."""
+    base = [*scrape, "region_metric"]
+    summed = regions.withWatermark("ts", watermark).groupBy(F.window("ts", interval).alias("t"), *base, "namespace", "table").agg(
+        F.sum("value").alias("value"), F.count("*").alias("regions"))
+    # window_time carries the watermark on; a table sum falls into the window it was made in.
+    again = summed.withColumn("w", F.window(F.window_time("t"), interval)).drop("t")
+    base = ["w", *base]
+    grouped = again.groupingSets(
         [[*base, "namespace", "table"], [*base, "namespace"], base], *base, "namespace", "table"
     ).agg(
-        F.sum("value").alias("value"), F.count("*").alias("regions"),
+        F.sum("value").alias("value"), F.sum("regions").alias("regions"),
         F.grouping("namespace").alias("no_namespace"), F.grouping("table").alias("no_table"),
     )
     level = F.when(F.col("no_namespace") == 1, "server").when(F.col("no_table") == 1, "namespace").otherwise("table")

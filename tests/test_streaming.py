@@ -119,6 +119,28 @@ def test_rollup_stream(spark, rows):
     ]
 
 
+def test_second_rollup_step_holds_table_sums_not_regions(spark):
+    data = [("r", i % 60, 1.0, i) for i in range(400)]
+    path, table = landing(spark, [data, [("r", 90000, 5.0, 999)]], "t-steps")
+    regions = sj.read_landing(spark, path, table.schema, max_files=1).select(
+        "ts", "value", F.lit("c").alias("cluster"), F.lit("j").alias("job"), F.lit("h").alias("host"), F.lit(1).alias("port"),
+        F.lit("storeCount").alias("region_metric"), F.lit("n").alias("namespace"), F.concat(F.lit("t"), (F.col("seq") % 4).cast("string")).alias("table"),
+    )
+    query = (
+        sj.region_rollup(regions, "1 hour").writeStream.outputMode("append").format("memory").queryName("t_steps")
+        .option("checkpointLocation", f"{path}-steps").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    steps = [[o.numRowsUpdated for o in p.stateOperators] for p in query.recentProgress]
+    assert {len(s) for s in steps} == {2}
+    # Four tables of the closed hour: four table rows, one namespace and one server row reach the second state.
+    # Five table sums of two hours in the first state; of the closed hour four table rows, one namespace
+    # and one server row reach the second.
+    assert [sum(s[i] for s in steps) for i in (0, 1)] == [6, 5]
+    got = {(r.level, r.table, r.value, r.regions) for r in spark.table("t_steps").collect()}
+    assert got == {("server", None, 400.0, 400), ("namespace", None, 400.0, 400), *[("table", f"t{i}", 100.0, 100) for i in range(4)]}
+
+
 def test_work_root_follows_the_session(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
