@@ -42,6 +42,34 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/]+$", 0)
 
 
+def _path_parts(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda part: part != "")
+
+
+def relative_path(root: Column, path: Column) -> Column:
+    """``path`` as seen from ``root``, both absolute and without ``.`` or ``..``; equal ones give ``.``."""
+    above, below = _path_parts(root), _path_parts(path)
+    # The first place where they part; the longer one has NULL to compare with.
+    same = F.zip_with(above, below, lambda a, b: F.coalesce(a == b, F.lit(False)))
+    common = (F.array_position(F.array_append(same, F.lit(False)), False) - 1).cast("int")
+    steps = F.concat(
+        F.array_repeat(F.lit(".."), F.size(above) - common), F.slice(below, common + 1, F.greatest(F.size(below), F.lit(1))))
+    return F.when(F.size(steps) == 0, ".").otherwise(F.array_join(steps, "/"))
+
+
+def html_id(name: Column) -> Column:
+    """A name as an element id: dots, dashes and slashes become underscores."""
+    return F.translate(name, ".-/", "___")
+
+
+def setting_list(setting: Column) -> Column:
+    """The values of a comma-separated setting. Only the ends of the whole text are trimmed, of one
+    kind of character after the other; an empty setting is one empty value."""
+    for char in (" ", "\n", "\t", "\r", ","):
+        setting = F.trim(setting, F.lit(char))
+    return F.split(setting, ",")
+
+
 def host_from_url(url: Column) -> Column:
     """Host part of ``[http://|https://]host[:port][/path]``."""
     bare = F.regexp_replace(F.regexp_replace(url, "^http://", ""), "^https://", "")

@@ -75,6 +75,14 @@ def task_select(spark, sf):
     )
 
 
+@query("job_listing", f"""WITH {TASKS} SELECT cluster, job, count(*) AS n_tasks FROM tasks WHERE task_id % 5 <> 0 GROUP BY ALL""")
+def job_listing(spark, sf):
+    """F8: every fifth task belongs to its cluster's template job, which listings hide."""
+    template = F.when(F.col("task_id") % 5 == 0, fl.TEMPLATE_JOB).otherwise(F.col("job"))
+    jobs = fl.visible_jobs(ad.declared_tasks(spark, sf).withColumn("job", template))
+    return jobs.groupBy("cluster", "job").agg(F.count("*").alias("n_tasks"))
+
+
 @query("jvm_program_filter", f"""WITH {PROGRAMS} SELECT o_orderkey, o_totalprice FROM orders
 WHERE o_custkey IN (SELECT task_id FROM programs WHERE bin LIKE '%java%' AND status = 'Running')""")
 def jvm_program_filter(spark, sf):

@@ -585,3 +585,41 @@ def endpoint_parse(spark, sf):
         F.when(ssh_ok, F.col("s.ssh_port")).alias("ssh_port"),
         F.when(ssh_ok, F.col("s.agent_port")).alias("ssh_agent_port"),
     )
+
+
+_TAIL = "regexp_replace(url, '^https?://', '')"
+
+
+@query("name_texts", f"""WITH p AS (SELECT page_id, url, {_TAIL} AS tail, split_part({_TAIL}, '/', 1) AS host,
+', ' || replace({_TAIL}, '/', ',') || ', ' || chr(10) AS setting FROM pages)
+SELECT page_id, replace(replace(replace(url, '.', '_'), '-', '_'), '/', '_') AS id,
+array_to_string(string_split(trim(trim(trim(setting, ' '), chr(10)), ','), ','), '|') AS items,
+CASE page_id % 4 WHEN 0 THEN substr(rtrim(tail, '/'), length(host) + 2) WHEN 1 THEN '../../' || substr(rtrim(tail, '/'), length(host) + 2)
+WHEN 2 THEN '.' ELSE 'srv/' || rtrim(tail, '/') END AS relative FROM p""")
+def name_texts(spark, sf):
+    """Element ids, list settings and relative paths, all from the addresses of pages."""
+    tail = F.regexp_replace("url", "^https?://", "")
+    host = F.split_part(tail, F.lit("/"), F.lit(1))
+    setting = F.concat(F.lit(", "), F.replace(tail, F.lit("/"), F.lit(",")), F.lit(", \n"))
+    path, kind = F.concat(F.lit("/srv/"), tail), F.col("page_id") % 4
+    root = (
+        F.when(kind == 0, F.concat(F.lit("/srv/"), host)).when(kind == 1, F.concat(F.lit("/srv/"), host, F.lit("/x1/x2/")))
+        .when(kind == 2, path).otherwise(F.lit("/"))
+    )
+    return table(spark, sf, "pages").select(
+        "page_id", tf.html_id(F.col("url")).alias("id"), F.array_join(tf.setting_list(setting), "|").alias("items"),
+        tf.relative_path(root, path).alias("relative"),
+    )
+
+
+@query("bean_yield", _with(SCRAPES) + _union([
+    f"SELECT '{bean}' AS bean_class, (SELECT count(*) FROM scrapes) AS beans, (SELECT count(*) FROM ({_union(points)})) AS points"
+    for bean, points in ((rl.THREADING, [_THREADS]), (rl.WAL, _WAL), (rl.SERVER, _SERVER))
+] + [f"SELECT '{rl.IPC}' AS bean_class, count(*) AS beans, 0 AS points FROM scrapes"]))
+def bean_yield(spark, sf):
+    """Routed beans and the rule points they give; the IPC bean is routed and gives none."""
+    routed = rl.route_beans(_hbase_beans(spark, sf), rl.HBASE).filter(F.col("bean_class") != rl.REGIONS)
+    ruled = src.bean_entries(routed).join(F.broadcast(rl.rule_table(spark)), ["service", "bean_class", "key"], "left")
+    a_point = F.col("metric").isNotNull() & F.col("raw").try_cast("double").isNotNull()
+    # Every bean has exactly one entry for its name.
+    return ruled.groupBy("bean_class").agg(F.count_if(F.col("key") == "name").alias("beans"), F.count_if(a_point).alias("points"))

@@ -108,3 +108,20 @@ def test_small_helpers(spark):
                                          ("99999999999999999999", None)])
 def test_strict_int(spark, text, value):
     assert one(spark, tf.strict_int(F.lit(text))) == value
+
+
+def test_relative_paths(spark):
+    cases = [
+        ("/a/b", "/a/b/c/d", "c/d"), ("/a/b/", "/a/b", "."), ("/a/b/c", "/a/x", "../../x"), ("/", "/a", "a"),
+        ("/a", "/", ".."), ("/", "/", "."), ("/ab", "/a/b", "../a/b"), (None, "/a", None), ("/a", None, None),
+    ]
+    df = spark.createDataFrame(cases, "root string, path string, expected string")
+    got = df.select("expected", tf.relative_path(F.col("root"), F.col("path")).alias("got")).collect()
+    assert [r.got for r in got] == [r.expected for r in got]
+
+
+def test_setting_lists_trim_the_ends_only(spark):
+    cases = [("a,b", ["a", "b"]), (" a, b ", ["a", " b"]), (",,a,,b,", ["a", "", "b"]), ("", [""]), ("a ,\n", ["a "]), (None, None)]
+    df = spark.createDataFrame(cases, "setting string, expected array<string>")
+    got = df.select("expected", tf.setting_list(F.col("setting")).alias("got")).collect()
+    assert [r.got for r in got] == [r.expected for r in got]
