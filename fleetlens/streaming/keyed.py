@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -142,47 +144,86 @@ def stream_status(reports: DataFrame, ttl_seconds: int, as_of: Column, root: str
 
 
 TIMELINE = "key string, seq bigint, at bigint, status string"
-
-
-def status_timeline(reports: DataFrame, ttl_seconds: int, watermark: str = WATERMARK) -> DataFrame:
+# Keys are dealt into so many states: a call costs some ten milliseconds, whatever it has to do. A
+# stream that goes on must keep the number it began with.
+BUCKETS = 1024
+HELD = pa.schema({"key": pa.string(), "seq": pa.int64(), "at": pa.int64()})
+
+
+def _packed(held: dict[str, np.ndarray]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, HELD) as out:
+        out.write_batch(pa.record_batch([pa.array(held[f.name], f.type) for f in HELD], schema=HELD))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(held: bytes | None) -> dict[str, np.ndarray]:
+    rows = pa.ipc.open_stream(held).read_all() if held else HELD.empty_table()
+    return {f.name: rows[f.name].to_numpy() for f in HELD}
+
+
+def _follow(held: dict[str, np.ndarray], new: pd.DataFrame, ttl: int, watermark: int) -> tuple[pd.DataFrame, dict[str, np.ndarray]]:
+    """The timeline rows that new reports and the watermark (in milliseconds) make of many keys at once, and
+    the last reports that stay. ``held``: a row for each key; ``ttl`` and ``at`` in microseconds."""
+    told = np.repeat([False, True], [len(held["key"]), len(new)])
+    key = np.concatenate([held["key"], new["key"].to_numpy(object)])
+    # A number that is missing fails here, as pandas doesn't cast it.
+    seq, at = (np.concatenate([held[c], new[c].astype("int64").to_numpy()]) for c in ("seq", "at"))
+    status = np.concatenate([np.full(len(held["key"]), None), new["status"].to_numpy(object)])
+    code = pd.factorize(key, use_na_sentinel=False)[0]
+    reported = np.bincount(code, told) > 0
+    # What is held comes first in its key, then the reports; those of no greater seq than one before are none.
+    order = np.lexsort((seq, told, code))
+    same = code[order][1:] == code[order][:-1]
+    start = np.maximum.accumulate(np.where(np.r_[True, ~same][: len(order)], np.arange(len(order)), 0))
+    first, before = order[start], order[:-1]
+    old = told[order] & ~told[first] & (seq[order] <= seq[first])
+    old[1:] |= same & told[before] & (seq[order][1:] == seq[before])
+    order = order[~old]
+    code, told, key, seq, at, status = (x[order] for x in (code, told, key, seq, at, status))
+    same = code[1:] == code[:-1]
+    silent = np.flatnonzero(same & (at[1:] > at[:-1] + ttl))
+    last = np.flatnonzero(np.r_[~same, True][: len(order)])
+    # A timer fires when the watermark is beyond it; a key that reports is told at once where it has come to it.
+    due = (at[last] + ttl) // 1000
+    over = np.where(reported[code[last]], due <= watermark, due < watermark)
+    reports, unknown, stays = np.flatnonzero(told), np.r_[silent, last[over]], last[~over]
+    rows = np.r_[reports, unknown]
+    rows = rows[turn := np.argsort(np.r_[2 * reports, 2 * unknown + 1])]
+    gone = turn >= len(reports)
+    out = pd.DataFrame({"key": key[rows], "seq": seq[rows], "at": at[rows] + ttl * gone, "status": np.where(gone, "Unknown", status[rows])})
+    return out, {"key": key[stays], "seq": seq[stays], "at": at[stays]}
+
+
+def status_timeline(reports: DataFrame, ttl_seconds: int, watermark: str = WATERMARK, buckets: int = BUCKETS) -> DataFrame:
     """T6 with timers: (key, ts, seq, status) of every report, in the order of ``seq`` for each key, and Unknown
     at the instant at which a key's last report became older than the ttl: by a timer, or, if the next
     report comes in before the watermark has got there, with that one.
 
-    The state of a key is its last report and a timer; both go when the timer fires, so keys that
-    fell silent cost nothing. ``seq`` must not fall as ``ts`` rises. A report later than the watermark
-    is dropped and counted; what else comes out doesn't depend on the micro-batches.
+    A state holds the last reports of the keys of one of ``buckets`` and a timer for the first of them that
+    falls silent; a key goes when it is told Unknown, so keys that fell silent cost nothing. A micro-batch
+    writes the states of the buckets it touches anew, and a task holds one bucket's rows at a time.
+    ``seq`` must not fall as ``ts`` rises. A report later than the watermark is dropped and counted;
+    what else comes out doesn't depend on the micro-batches.
     """
     ttl = int(ttl_seconds) * 1_000_000
 
-    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        if state.hasTimedOut:
-            seq, at = state.get
-            out.append((key[0], seq, at + ttl, "Unknown"))
+    def follow(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = ["key", "seq", "at", "status"]
+        new = pd.DataFrame(columns=columns) if state.hasTimedOut else pd.concat([f[columns] for f in frames])
+        out, held = _follow(_unpacked(state.get[0] if state.exists else None), new, ttl, state.getCurrentWatermarkMs())
+        if len(held["key"]):
+            state.update((_packed(held),))
+            state.setTimeoutTimestamp(int((held["at"].min() + ttl) // 1000))
+        elif state.exists:
             state.remove()
-        else:
-            seq, at = state.get if state.exists else (None, None)
-            for r in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
-                if seq is not None and r.seq <= seq:
-                    continue
-                if seq is not None and r.at > at + ttl:
-                    out.append((key[0], seq, at + ttl, "Unknown"))
-                seq, at = int(r.seq), int(r.at)
-                out.append((key[0], seq, at, r.status))
-            due = (at + ttl) // 1000
-            if due > state.getCurrentWatermarkMs():
-                state.update((seq, at))
-                state.setTimeoutTimestamp(due)
-            else:
-                out.append((key[0], seq, at + ttl, "Unknown"))
-                if state.exists:
-                    state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=["key", "seq", "at", "status"])
-
-    rows = reports.withWatermark("ts", watermark).select("key", F.col("seq").cast("bigint").alias("seq"), "ts", F.unix_micros("ts").alias("at"), "status")
-    changes = rows.groupBy("key").applyInPandasWithState(follow, TIMELINE, "seq bigint, at bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        if len(out):
+            yield out
+
+    rows = reports.withWatermark("ts", watermark).select(
+        "key", F.col("seq").cast("bigint").alias("seq"), "ts", F.unix_micros("ts").alias("at"), "status",
+        F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"))
+    changes = rows.groupBy("bucket").applyInPandasWithState(follow, TIMELINE, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
     return changes.select("key", F.timestamp_micros("at").alias("ts"), "seq", "status")
 
 

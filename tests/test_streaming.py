@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from fleetlens.operators import series as sr
@@ -167,3 +169,49 @@ def test_silence_is_told_by_timers(spark, rows):
             "series_key", F.timestamp_seconds("sec").alias("ts"), "value", "seq").coalesce(1).write.mode("append").parquet(path)
     again = run(root)
     assert set(again) - set(got) == {("b", 60000, "v9"), ("c", 55000, "Unknown")}
+
+
+def told(reports, ttl, limit):
+    """What a timeline says of whole-second reports (key, second, seq, status), one key after the other."""
+    out = []
+    for key in {r[0] for r in reports}:
+        mine, seen = sorted((r for r in reports if r[0] == key), key=lambda r: r[2]), set()
+        mine = [r for r in mine if not (r[2] in seen or seen.add(r[2]))]
+        for r, after in zip(mine, [*mine[1:], None]):
+            out.append((key, r[1], r[3]))
+            if r[1] + ttl < (after[1] if after else limit):
+                out.append((key, r[1] + ttl, "Unknown"))
+    return out
+
+
+def test_a_state_follows_many_keys(spark, rows):
+    rng = random.Random(3)
+    seconds = sorted(rng.sample(range(36000, 76000), 600))
+    data = [(rng.choice([None, *(f"k{i}" for i in range(40))]), s, 1.0 * (i % 2), i) for i, s in enumerate(seconds)]
+    data += rng.sample(data, 50)  # reports that come twice
+    data.sort(key=lambda r: r[3])
+    path, table = landing(spark, [data[:250], data[250:400], data[400:]], "t-many")
+    stream = sj.read_landing(spark, path, table.schema, max_files=1).select(
+        F.col("series_key").alias("key"), "seq", "ts", F.when(F.col("value") > 0, "Running").otherwise("Stopped").alias("status"))
+    want = told([(k, s, i, "Running" if v else "Stopped") for k, s, v, i in data], 5000, seconds[-1] - 600)
+    for buckets in (1, 7):
+        timeline = keyed.status_timeline(stream, 5000, buckets=buckets)
+        keyed.append_table(timeline, f"{path}-{buckets}", f"{path}-{buckets}-check", keyed.AVAILABLE).awaitTermination()
+        got = spark.read.schema(timeline.schema).parquet(f"{path}-{buckets}")
+        assert rows(got.select("key", F.unix_seconds("ts").alias("s"), "status")) == sorted(want, key=lambda t: tuple((v is None, str(v)) for v in t))
+        state = spark.read.format("statestore").load(f"{path}-{buckets}-check")
+        assert 0 < state.count() <= buckets
+
+
+def test_a_bucket_keeps_order_and_timers():
+    new = pd.DataFrame([("b", 2, 20_000, "x"), ("a", 1, 10_000, "y"), ("b", 2, 20_000, "x"), ("b", 9, 100_000, "z"), (None, 4, 40_000, None)], columns=["key", "seq", "at", "status"])
+    out, held = keyed._follow(keyed._unpacked(None), new, 50_000, 0)
+    assert [*out[out.key == "b"].itertuples(index=False, name=None)] == [("b", 2, 20_000, "x"), ("b", 2, 70_000, "Unknown"), ("b", 9, 100_000, "z")]
+    assert len(out) == 5 and sorted(held["at"].tolist()) == [10_000, 40_000, 100_000]
+    again = keyed._unpacked(keyed._packed(held))
+    assert all(again[c].tolist() == held[c].tolist() for c in held)
+    # Old seqs are no reports; silent keys go by the watermark, in milliseconds.
+    out, held = keyed._follow({"key": np.array(["a", "b"], object), "seq": np.array([5, 6]), "at": np.array([10_000, 90_000])},
+                              pd.DataFrame([("b", 6, 95_000, "no"), ("b", 7, 99_000, "yes")], columns=new.columns), 50_000, 61)
+    assert [*out.itertuples(index=False, name=None)] == [("a", 5, 60_000, "Unknown"), ("b", 7, 99_000, "yes")]
+    assert held["key"].tolist() == ["b"] and held["at"].tolist() == [99_000]
