@@ -223,3 +223,49 @@ def test_tags_override_and_dedupe(spark):
     )
     got = sorted((r["ts"], r["value"]) for r in op.dedupe_points(points, "priority").collect())
     assert got == [(1, 6.0), (2, 7.0)]
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_payloads_are_parsed_and_region_names_looked_for_once(spark):
+    payloads = landed(spark, namenode({})).repartition("host")
+    assert optimized(plans.hdfs_points(payloads)).count("from_json") == 1
+    entries = op.service_entries(src.explode_beans(src.parse_jmx(payloads)), rl.HBASE)
+    assert optimized(entries).count("regexp_") == 1
+
+
+def test_region_entries_of_odd_names(spark):
+    one, odd = key("n", "t_table_u", "1", "storeCount"), key("n", "t", "2", "memStoreSize")
+    names = {
+        one: 1, f"x-{odd}": 2, f"{odd}-y.z": 3, f"{odd} {odd}": 4, f"\x01{odd}\x01": 5, f"{odd}\x01{odd}": 6, "Namespace_n_table_t_region_R": 7,
+        key("n", "t", "3", "storeCount") + "\n": "no number", "Namespace__table_t_region_1_metric_storeCount": 8,
+    }
+    beans = src.explode_beans(src.parse_jmx(landed(spark, [region_bean(**names), {"name": rl.WAL, **names}])))
+    columns = ["namespace", "table", "region", "region_metric", "value"]
+    got = [tuple(r) for r in op.service_entries(beans, rl.HBASE).select(*columns).collect()]
+    assert sorted(got) == sorted(tuple(r) for r in op.region_values(beans).select(*columns).collect())
+    assert ("n_table_t", "u", "1", "storeCount", 1.0) in got and sorted(r[-1] for r in got) == [1.0, 2.0, 3.0, 5.0]
+
+
+def test_tag_texts_are_those_of_the_tags(spark):
+    beans = [
+        {"name": rl.SERVER, "regionCount": 3, "storeCount": 4}, region_bean(**{key("n", "t", r, "storeCount"): 2 for r in "12"}),
+        {"name": rl.NAMESYSTEM, "FilesTotal": 5}, {"name": rl.THREADING, "ThreadCount": 1}]
+    jmx = landed(spark, beans, beans)
+    jmx = jmx.unionByName(jmx.withColumn("cluster", F.lit(None).cast("string")))
+    net = {k: i for i, k in enumerate(op.NETWORK_KEYS)}
+    node = {
+        "CpuPercents": 9.5, "Network": [{"name": "lo", **net}, net], "DiskUsage": {"usage:/dev/a": {"free": 1}},
+        "JavaMetrics": {"cluster=c/job=j/task_id=1": {"eden.usage": 2.5}, "cluster=c/job=j/task_id=2": {}}}
+    nodes = spark.createDataFrame([("h1", json.dumps(node)), (None, json.dumps(node)), ("h2", "{}"), ("h3", None)], "host string, value string").withColumn(
+        "ts", F.lit("2024-01-01").cast("timestamp"))
+    lines = jmx.withColumn("value", F.lit("zk_a\t5\nzk_b\tx"))
+    points = plans.all_points({"hbase": jmx, "hdfs": jmx, "node": nodes, "mntr": lines})
+    assert points.columns == ["metric", "ts", "value", "tags", "priority", "series_key"]
+    rows = points.select("series_key", pf.series_key(F.col("metric"), F.col("tags")).alias("plain"), "tags").collect()
+    assert len(rows) > 60 and all(r.series_key == r.plain for r in rows)
+    assert {r.tags.get("job") for r in rows} == {"regionserver", "zkServer", "j", None} and {len(r.tags) for r in rows} == {1, 2, 3, 4, 5, 6}
+    assert any("if" in r.tags and r.tags["if"] is None for r in rows) and any(r.tags.get("cluster", "") is None for r in rows)
+    assert "map_entries(tags" not in optimized(points.select("series_key", "value"))
