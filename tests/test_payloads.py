@@ -10,6 +10,7 @@ from fleetlens.functions import points as pf
 from fleetlens.operators import points as op, rollup, rules as rl
 from fleetlens.plans import metrics as plans
 from fleetlens.sources import payloads as src
+from fleetlens.workload import adapters as ad
 
 SCHEMA = "cluster string, job string, host string, port int, ts timestamp, value string"
 
@@ -269,3 +270,13 @@ def test_tag_texts_are_those_of_the_tags(spark):
     assert {r.tags.get("job") for r in rows} == {"regionserver", "zkServer", "j", None} and {len(r.tags) for r in rows} == {1, 2, 3, 4, 5, 6}
     assert any("if" in r.tags and r.tags["if"] is None for r in rows) and any(r.tags.get("cluster", "") is None for r in rows)
     assert "map_entries(tags" not in optimized(points.select("series_key", "value"))
+
+
+def test_orders_stay_dealt_over_all_partitions(spark, tmp_path):
+    spark.range(400).select(
+        F.col("id").alias("o_custkey"), F.col("id").alias("o_orderkey"), F.lit("O").alias("o_orderstatus"), F.lit("1-URGENT").alias("o_orderpriority"),
+        F.lit("2024-01-01").cast("timestamp").alias("o_orderdate"), F.lit(1.5).alias("o_totalprice"),
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    for payloads in (ad.jmx_namenode(spark, str(tmp_path)), ad.jmx_datanode(spark, str(tmp_path))):
+        dealt = payloads.groupBy(F.spark_partition_id().alias("part")).count().collect()
+        assert len(dealt) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(r["count"] for r in dealt) == 400
